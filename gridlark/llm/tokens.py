@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
 #: Characters for which the pattern below splits exactly as the vocabulary's own one does: all others (rare scripts,
 #: other white space, other digits) send the whole text through the tokenizer itself.
 UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]")
 #: The vocabulary's splitting rule for the characters that are left.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Pre-tokens kept in a worker's memory (about 100 MB); beyond that the cache starts anew.
-CACHE = 300_000
-#: A pre-token longer than this isn't kept.
+#: Pre-tokens and words kept in a worker's memory (about 200 MB together); a full cache starts anew.
+PARTS, WORDS = 700_000, 300_000
+#: A longer one isn't kept.
 LONG = 64
 
 
+def uneven(text: str) -> bool:
+    """Whether white space is other than single spaces between words and single line ends between lines."""
+    return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or "\r" in text
+
+
 @cache
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -32,34 +37,57 @@ def specials(path: str) -> re.Pattern | None:
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit integers; equal to the tokenizer's own, checked by the tests."""
+    """Ids of a text as little-endian unsigned 32-bit integers; equal to the tokenizer's own, checked by the tests.
+
+    The vocabulary splits before every space that a word follows, and around every single line end. So where white
+    space is even, a text's ids are those of its words, each with the space or line end before it, and these repeat
+    and are remembered. Other texts are split by SPLIT into pre-tokens, which are remembered too."""
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path, self.words, self.parts = path, {}, {}
+        self.encode = tokenizer(path).encode
 
     def __call__(self, text: str) -> bytes:
         special = specials(self.path)
-        if UNCOMMON.search(text) or special is not None and special.search(text):
+        if not text or UNCOMMON.search(text) or special is not None and special.search(text):
             return self.whole(text)
-        known, get = self.known, self.known.get
-        parts = SPLIT.findall(text)
-        found = list(map(get, parts))
+        if uneven(text):
+            return self.split(text)
+        words, get = self.words, self.words.get
+        first, *rest = text.replace("\n", " \n").split(" ")
+        found = list(map(get, rest))
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
-                    p = parts[i]
-                    x = get(p)
+                    w = rest[i]
+                    x = get(w)
                     if x is None:
-                        x = self.whole(p)
-                        if len(p) <= LONG:
-                            if len(known) >= CACHE:
-                                known.clear()
-                            known[p] = x
+                        x = self.split(w if w[0] == "\n" else " " + w)
+                        self.keep(words, w, x, WORDS)
                     found[i] = x
-        return b"".join(found)
+        return self.split(first) + b"".join(found)
+
+    def split(self, text: str) -> bytes:
+        parts, out = self.parts, []
+        for p in SPLIT.findall(text):
+            x = parts.get(p)
+            if x is None:
+                x = self.whole(p)
+                self.keep(parts, p, x, PARTS)
+            out.append(x)
+        return b"".join(out)
+
+    def keep(self, known: dict[str, bytes], key: str, ids: bytes, most: int) -> None:
+        if len(key) <= LONG:
+            if len(known) >= most:
+                known.clear()
+            known[key] = ids
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 @cache
