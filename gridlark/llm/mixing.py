@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +15,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Documents of a source are ordered by a seeded hash, cut into this many buckets for each million of documents.
-BUCKETS_A_MILLION = 64
 
 
 def word_count(text: Column) -> Column:
@@ -50,11 +50,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     that order (ties: by size), so reruns agree; an empty table gives an empty one.
 
     The order is made without bringing a source together: the hash is cut into buckets, whose sums (one row for a
-    source and bucket) give each bucket's first word by a running sum; only documents within a bucket are sorted."""
+    source and bucket) give each bucket's first word by a running sum; only documents within a bucket are sorted. The
+    number of buckets is as the root of the number of documents, so that neither their number nor their size grows in
+    proportion."""
     d = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text_or_empty(df, text)).alias("size"))
     d = d.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))))
     d = written(d, "mix")
-    buckets = max(16, d.count() * BUCKETS_A_MILLION // 1_000_000)
+    buckets = 16 + 2 * isqrt(d.count())
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0**32)).cast("int"))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     by_source = fill_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
