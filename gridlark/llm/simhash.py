@@ -149,7 +149,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     members = sets.select(F.col("root"), "fp").unionByName(sets.select("root", F.col("root").alias("fp"))).distinct()
     least = members.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     changed = members.join(least, "root").select("fp", "component_id")
-    named = reps.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # Written, so that the last join has plain exchanges on both sides and Spark can split a hot fingerprint's rows.
+    named = written(reps.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
     return docs.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
