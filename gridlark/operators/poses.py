@@ -69,13 +69,18 @@ def quaternion(df: DataFrame, prefix: str = "r") -> DataFrame:
 def to_world(points: DataFrame, placed: DataFrame, key: str = "seq", time: str = "frame", calibration: np.ndarray | None = None) -> DataFrame:
     """Sensor points in the world: pose of the frame, after the fixed transform from the sensor (4 by 4, inverted once
     on the driver if given as world-to-sensor). Frames carry one row each, so they are joined by key and time."""
-    j = points.join(rotation(placed), [key, time])
+    # A crop of the result is a condition on the joined rows. Left to itself the optimizer would infer from it that each
+    # coefficient is not null and push that, written out in full, below the interpolation; a struct keeps it one column.
+    m = rotation(placed)
+    names = [*(f"r{i}{k}" for i in range(3) for k in range(3)), *SHIFT]
+    m = m.groupBy(key, time).agg(F.first(F.struct(*names)).alias("_m"))
+    j = points.join(m, [key, time]).select(*points.columns, *[F.col(f"_m.{c}") for c in names])
     x, y, z = (F.col(c).cast("double") for c in "xyz")
     if calibration is not None:
         c = np.linalg.inv(calibration)
         x, y, z = (float(c[i, 0]) * x + float(c[i, 1]) * y + float(c[i, 2]) * z + float(c[i, 3]) for i in range(3))
     out = [F.col(f"r{i}0") * x + F.col(f"r{i}1") * y + F.col(f"r{i}2") * z + F.col(SHIFT[i]) for i in range(3)]
-    return j.withColumns({"wx": out[0], "wy": out[1], "wz": out[2]}).drop(*[f"r{i}{k}" for i in range(3) for k in range(3)], *QUATERNION, *SHIFT)
+    return j.withColumns({"wx": out[0], "wy": out[1], "wz": out[2]}).drop(*names)
 
 
 def matrix_poses(poses: DataFrame) -> DataFrame:
