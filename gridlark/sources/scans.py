@@ -80,11 +80,12 @@ class VelodyneDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats ply and velodyne known to the session."""
+    """Makes the formats ply and velodyne known to the session, and lets Python sources see predicates."""
     from ..session import ship
     from .ply import PlyDataSource
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PlyDataSource)
     spark.dataSource.register(VelodyneDataSource)
 
