@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, read_table
+from .common import fresh, read_table, written
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -47,7 +47,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     keys = hosts.select("host", F.explode(F.array_append(suffixes, F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern")))).alias("k")).select("host", "k.kind", "k.pattern")
     by_host = keys.join(intervals(entries), ["kind", "pattern"]).groupBy("host").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias(active))
-    j = named.join(by_host.withColumnRenamed("host", h), h, "left")
+    # Written first, so that its size is known when the join is planned.
+    j = named.join(written(by_host.withColumnRenamed("host", h), "hosts"), h, "left")
     holds = F.filter(active, lambda x: (x["valid_from"] <= F.col(fetched)) & (x["valid_to"].isNull() | (F.col(fetched) < x["valid_to"])))
     n = F.coalesce(F.size(holds), F.lit(0))
     return j.withColumn("n_active", F.when(F.col(active).isNull(), 0).otherwise(n).cast("int")).withColumn("blocked", F.col("n_active") > 0).drop(h, active)
