@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,9 @@ HELD_OUT, CALIBRATE = 2, 3
 SAMPLE = 24_000
 #: At most this many learned lexicon entries, the strongest first.
 ENTRIES = 4_000
-#: A lexicon entry's likelihood-ratio statistic (G squared), its odds against clean rows, and its toxic rows, at least.
-STRENGTH, ODDS, ROWS = 24.0, 8.0, 4
+#: A lexicon entry's odds against clean rows and its toxic rows, at least. Its likelihood-ratio statistic (G squared)
+#: must reach 2 ln(m), where m entries have that many rows: about one of them would by chance.
+ODDS, ROWS = 8.0, 4
 THRESHOLD = 0.3
 
 #: Words that insult in any context, and words that address the reader.
@@ -31,7 +32,7 @@ INSULTS = frozenset("idiot idiots moron morons loser losers scum trash garbage s
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ustedes vosotros ti contigo".split())
 LEET = str.maketrans("013457@$!|", "oieastasii")
 EDGE = "\"'.,;:!?()[]{}<>|*#%&$-_`´’“”«»…"
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Tokens whose lexicon weight a worker remembers.
 REMEMBER = 200_000
 
@@ -53,64 +54,70 @@ def grams(token: str) -> list[str]:
     return [f"={token}", *(f"{n}{token[:n]}" for n in PREFIXES if len(token) >= n)]
 
 
-@dataclass
+WORDS, MARKS, CAPITALS = re.compile(r"[^\W\d_]+"), re.compile(r"[^\w\s]"), re.compile(r"[A-ZÀ-Þ]")
+SHOUTED, RUNS, REPEATED = re.compile(r"\b[A-ZÀ-Þ]{3,}\b"), re.compile(r"([!?*.$#%&])\1+"), re.compile(r"(.)\1\1")
+
+
 class Features:
-    """Turns texts into rows of NAMES, given the learned lexicon (entry to weight)."""
+    """Turns texts into rows of NAMES, given the learned lexicon (entry to weight).
 
-    lexicon: dict[str, float]
-    known: dict[str, tuple[float, bool, bool]] = field(default_factory=dict)
+    A worker remembers each token: 0 if it says nothing, or else what it is: (learned weight, insult, masked insult,
+    second person, letters mixed with digits)."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.whole = {e[1:]: w for e, w in lexicon.items() if e[0] == "="}
+        self.starts = [(n, {e[1:]: w for e, w in lexicon.items() if e[0] == str(n)}) for n in PREFIXES]
+        self.known: dict[str, tuple[float, bool, bool, bool, bool] | int] = {}
 
-    def look_up(self, token: str) -> tuple[float, bool, bool]:
-        """Learned weight, insult or not, obfuscated or not."""
+    def look_up(self, token: str) -> tuple[float, bool, bool, bool, bool] | int:
         p = plain(token)
-        w = max((self.lexicon.get(g, 0.0) for g in grams(p)), default=0.0) if p else 0.0
-        insult, masked = p in INSULTS, False
-        if p and not insult and not p.isalpha():
+        if not p:
+            return 0
+        w = self.whole.get(p, 0.0)
+        for n, entries in self.starts:
+            if len(p) >= n and (v := entries.get(p[:n], 0.0)) > w:
+                w = v
+        insult, masked, alpha = p in INSULTS, False, p.isalpha()
+        if not insult and (not alpha or REPEATED.search(p)):
             u = unmasked(p)
-            if len(u) >= 4 and u != p and (u in INSULTS or self.lexicon.get(f"={u}", 0.0) > 0):
-                insult = masked = True
-        elif p and not insult and re.search(r"(.)\1\1", p) and unmasked(p) in INSULTS:
-            insult = masked = True
-        return w, insult, masked
+            masked = len(u) >= 4 and u != p and (u in INSULTS or not alpha and u in self.whole)
+        mixed = not token.isalpha() and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+        you = p in SECOND_PERSON
+        return (w, insult or masked, masked, you, mixed and not you) if w or insult or masked or you or mixed else 0
 
     def row(self, text: str) -> list[float]:
         low = text.lower().split()
         counts, known = Counter(low), self.known
         n = len(low) or 1
-        hits: dict[str, tuple[float, bool, bool]] = {}
-        you = mixed = 0
+        hits: dict[str, tuple[float, bool, bool, bool, bool]] = {}
+        ours: set[str] = set()
+        mixed = 0
         for t, k in counts.items():
             found = known.get(t)
             if found is None:
                 if len(known) >= REMEMBER:
                     known.clear()
                 found = known[t] = self.look_up(t)
-            if found[0] or found[1]:
-                hits[t] = found
-            if t in SECOND_PERSON or t[-1] in EDGE and plain(t) in SECOND_PERSON:
-                you += k
-            elif not t.isalpha() and any(c.isdigit() for c in t) and any(c.isalpha() for c in t):
-                mixed += k
+            if found:
+                if found[0] or found[1]:
+                    hits[t] = found
+                if found[3]:
+                    ours.add(t)
+                mixed += k * found[4]
         learned = sum(counts[t] for t, x in hits.items() if x[0])
         insults = sum(counts[t] for t, x in hits.items() if x[1])
+        masked = sum(counts[t] for t, x in hits.items() if x[2])
+        you = sum(counts[t] for t in ours)
         near = 0
-        if hits and you:
-            last = -9
-            places = [i for i, t in enumerate(low) if t in hits]
-            at = set(places)
-            for i, t in enumerate(low):
-                if plain(t) in SECOND_PERSON:
-                    near += any(j in at for j in range(i - 4, i + 5) if j != last)
-        letters = sum(map(str.isalpha, text)) if len(text) < 2000 else len(re.findall(r"[^\W\d_]", text))
-        capitals = len(re.findall(r"[A-ZÀ-Þ]", text))
-        shouted = len(re.findall(r"\b[A-ZÀ-Þ]{3,}\b", text))
-        marks = len(re.findall(r"[^\w\s]", text))
-        runs = len(re.findall(r"([!?*.$#%&])\1+", text))
+        if hits and ours:
+            at = {i for i, t in enumerate(low) if t in hits}
+            near = sum(any(j in at for j in range(i - 4, i + 5)) for i, t in enumerate(low) if t in ours)
+        letters = sum(map(len, WORDS.findall(text)))
         return [
             np.log1p(len(low)), learned, 100 * learned / n, max((x[0] for x in hits.values()), default=0.0), sum(x[0] * counts[t] for t, x in hits.items()),
             insults, 100 * insults / n, near, 100 * near / n, 100 * you / n,
-            capitals / (letters or 1), shouted / n, 100 * text.count("!") / n, 100 * text.count("?") / n, marks / (len(text) or 1), 100 * runs / n,
-            100 * sum(counts[t] for t, x in hits.items() if x[2]) / n, sum(x[2] for x in hits.values()), 100 * mixed / n, len(counts) / n,
+            len(CAPITALS.findall(text)) / (letters or 1), len(SHOUTED.findall(text)) / n, 100 * text.count("!") / n, 100 * text.count("?") / n, len(MARKS.findall(text)) / (len(text) or 1), 100 * len(RUNS.findall(text)) / n,
+            100 * masked / n, masked, 100 * mixed / n, len(counts) / n,
         ]
 
     def matrix(self, texts: list[str]) -> np.ndarray:
@@ -147,8 +154,12 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
     strength = 2 * (term(a, (a + b) * share) + term(b, (a + b) * (1 - share)))
     odds = ((a + 0.5) / (nt + 1)) / ((b + 0.5) / (nc + 1))
-    found = sums.filter(a >= ROWS).select("entry", strength.alias("strength"), odds.alias("odds")).filter((F.col("strength") >= STRENGTH) & (F.col("odds") >= ODDS))
-    return {r[0]: float(np.log(r[2])) for r in found.orderBy(F.desc("strength"), "entry").limit(ENTRIES).collect()}
+    sums = sums.filter(a + b >= ROWS).cache()
+    least = 2 * np.log(max(2, sums.count()))
+    found = sums.filter(a >= ROWS).select("entry", strength.alias("strength"), odds.alias("odds")).filter((F.col("strength") >= float(least)) & (F.col("odds") >= ODDS))
+    out = {r[0]: float(np.log(r[2])) for r in found.orderBy(F.desc("strength"), "entry").limit(ENTRIES).collect()}
+    sums.unpersist()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
