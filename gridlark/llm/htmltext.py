@@ -23,7 +23,7 @@ from .dom import Page, read
 
 BOILER, CONTENT, MIXED = 0, 1, 2
 #: Training pages made by rule, and the seed of their words and layouts.
-PAGES, SEED = 450, 11
+PAGES, SEED = 500, 11
 #: Runs of at least this marginal are content.
 LEAST = 0.5
 #: Pages whose trees are solved together.
@@ -90,8 +90,9 @@ def features(page: Page) -> list[list[int]]:
         row = [tag[i], _AT["parent"] + (tag[p] if p >= 0 else other), _AT["grand"] + (tag[g] if g >= 0 else other), _AT["length"] + bin_, _AT["links"] + min(5, int(link * 5.01)), _AT["stops"] + min(3, int(100 * stops[i] / size) if size else 0), _AT["children"] + min(4, children[i].bit_length()), _AT["place"] + min(4, 5 * before // total), _AT["text_in"] + 4 * tag[i] + min(3, bin_ // 2)]
         cues = _cues(page.cue[i])
         row += [_AT["cue"] + 1 + c for c in cues] or [_AT["cue"]]
-        if p >= 0 and page.tag[i] == "#text":
-            row += [_AT["cue"] + 1 + len(CUES) + c for c in _cues(page.cue[p])]
+        if p >= 0:
+            above = _cues(page.cue[p]) + (_cues(page.cue[g]) if g >= 0 and page.tag[i] == "#text" else ())
+            row += [_AT["cue"] + 1 + len(CUES) + c for c in dict.fromkeys(above)]
         before += len(page.text[i])
         out.append(row[:SLOTS])
     return out
@@ -169,7 +170,7 @@ def states(page: Page) -> np.ndarray:
     return np.array([MIXED if len(b) > 1 else next(iter(b), CONTENT if label[i] == "content" else BOILER) for i, b in enumerate(below)])
 
 
-def train(pages: list[str], rounds: int = 110, rate: float = 0.1, ridge: float = 3e-5) -> Model:
+def train(pages: list[str], rounds: int = 130, rate: float = 0.25, ridge: float = 1e-5) -> Model:
     """Maximizes the likelihood of the labelled trees (Adam, full batches): the gradient of each potential is how often
     the labels show it less how often the model's own marginals do, so that what a page's nodes say together is not
     counted twice. Deterministic."""
@@ -233,14 +234,14 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[str]:
         out = [("top", wrap(*pick((("nav", links(3, 9), "", b), ("div", links(3, 9), pick(("nav", "menu", "navbar main-menu", "topnav")), b), ("ul", "".join(wrap("li", link()) for _ in range(5)), pick(("menu", "nav-list", "navigation")), b)))))]
         if some(0.5):
             out.insert(0, ("top", wrap(*pick((("header", wrap("h1", link()) + wrap("p", words(2, 6)), pick(("", "site-header")), b), ("div", wrap("h2", words(1, 3)) + words(2, 5), pick(("masthead", "header", "topbar", "logo")), b), ("header", words(2, 8) + links(2, 5), "", b))))))
-        for _ in range(rng.randint(0, 2)):
-            out.append((pick(("top", "mid", "in", "end")), wrap(pick(("div", "div", "aside", "section", "p")), pick((prose(1, 3), wrap("p", prose(1, 3)), words(2, 8) + link())), pick(("ad", "ads", "advert", "advertisement", "ad-slot", "sponsored", "promo", "banner-ad", "promotion-box")), b)))
+        for _ in range(rng.randint(0, 3)):
+            out.append((pick(("top", "mid", "in", "in", "end")), wrap(pick(("div", "div", "aside", "section")), pick((prose(1, 3), wrap("p", prose(1, 3)), words(2, 8) + link())), pick(("ad", "ads", "advert", "advertisement", "ad-slot", "sponsored", "promo", "banner-ad", "promotion-box")), b)))
         if some(0.4):
-            out.append((pick(("top", "end")), wrap(pick(("div", "section", "aside", "dialog")), wrap("p", prose(1, 2)) + wrap("button", words(1, 2)), pick(("cookie-notice", "cookie-banner", "consent", "gdpr-notice", "notice", "alert", "site-notice", "modal", "privacy-notice")), b, pick(("class", "id")))))
+            out.append((pick(("top", "end")), wrap(pick(("div", "section", "aside", "dialog")), pick((wrap("p", prose(1, 2)) + wrap("button", words(1, 2)), wrap("p", prose(1, 3)), prose(1, 2), prose(1, 1) + " " + link())), pick(("cookie-notice", "cookie-banner", "consent", "gdpr-notice", "notice", "alert", "site-notice", "modal", "privacy-notice")), b, pick(("class", "id")))))
         if some(0.5):
             out.append((pick(("top", "mid", "end")), wrap(*pick((("aside", wrap("h3", words(1, 3)) + pick((links(3, 8), wrap("p", prose(1, 3)))), pick(("", "sidebar", "widget")), b), ("div", wrap("h3", words(1, 3)) + pick((links(3, 8), wrap("p", prose(1, 3)), prose(1, 2))), pick(("sidebar", "side-bar", "widget", "right-rail", "secondary")), b))))))
         if some(0.5):
-            said = "".join(wrap(pick(("div", "li", "article", "p")), pick((wrap("b", word()) + " ", wrap("span", word()) + " ", "")) + pick((prose(1, 3), wrap("p", prose(1, 4)))), pick(("comment", "comment-body", "reply", "comment"))) for _ in range(rng.randint(1, 5)))
+            said = "".join(wrap(pick(("div", "li", "article")), pick((wrap("b", word()) + " ", wrap("span", word()) + " ", "")) + pick((prose(1, 3), wrap("p", prose(1, 4)))), pick(("comment", "comment-body", "reply", "comment"))) for _ in range(rng.randint(1, 5)))
             out.append((pick(("in_end", "mid", "end")), wrap(pick(("section", "div", "ol", "aside")), wrap("h3", words(1, 2)) + said, pick(("comments", "comment-list", "reader-comments", "disqus", "responses replies", "discussion")), b, pick(("class", "id")))))
         if some(0.4):
             out.append((pick(("top", "in_end", "mid", "end")), wrap("form", wrap("label", words(1, 3)) + '<input type="text">' + wrap("button", word()) + (wrap("p", prose(1, 1)) if some(0.4) else ""), pick(("", "search", "newsletter", "login", "subscribe-form")), b)))
@@ -292,6 +293,10 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[str]:
                 body.insert(rng.randint(min(1, len(body)), len(body)), h)
             elif where == "in_end":
                 body.append(h)
+        if some(0.15):
+            body.append(wrap(pick(("footer", "footer", "div")), words(1, 3) + " " + link(), pick(("entry-footer", "article-footer", "post-footer")), "boiler"))
+        if some(0.2):
+            body.insert(min(1, len(body)), wrap(pick(("p", "div")), pick(("By ", "")) + words(1, 4) + pick(("", " " + link(), ", 2020")), pick(("byline", "author", "dateline", "post-meta", "entry-meta"))))
         tag, name = pick((("article", ""), ("article", ""), ("article", "post"), ("div", "content"), ("div", "article-body"), ("div", "post-content entry-content"), ("main", ""), ("section", "story"), ("div", "entry"), ("td", "main-text"), ("div", "text")))
         main = wrap(tag, "".join(body), name, "content", pick(("class", "class", "id")))
         if tag == "td":
@@ -300,9 +305,19 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[str]:
             main = wrap(*pick((("main", main), ("div", main, "container"), ("div", main, "wrapper", "", "id"), ("section", main))))
         join = lambda place: "".join(h for where, h in around if where == place)  # noqa: B023, E731
         page = join("top") + main + join("mid") + join("end") + join("last")
-        if some(0.1):
-            page = join("top") + join("last") if some(0.3) else page
-        if some(0.4):
+        if some(0.03):
+            page = join("top") + join("last")
+        layout = rng.random()
+        if layout < 0.08:  # no container at all
+            page = (join("top") if some(0.4) else "") + "".join(body) + (join("last") if some(0.5) else "")
+            out.append(f"<html><head><title>{words(2, 6)}</title></head><body data-label=content>{page}</body></html>")
+            continue
+        if layout < 0.16:  # a table lays out the page
+            side = wrap("td", links(2, 6), pick(("menu", "nav", "sidebar", "")), "boiler")
+            foot = wrap("tr", wrap("td", pick((words(2, 6), links(1, 4), "&copy; " + words(1, 5))), pick(("footer", "copyright", "bottom")), "boiler"))
+            rows = wrap("tr", pick(("", side)) + wrap("td", "".join(body), pick(("content", "main", "text", "")), "content") + pick(("", "", side))) + pick(("", foot))
+            page = join("top") + wrap("table", rows) + (join("last") if some(0.5) else "")
+        elif some(0.4):
             page = wrap("div", page, pick(("page", "wrapper", "container", "site")), "", pick(("class", "id")))
         out.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{page}</body></html>")
     return out

@@ -70,7 +70,7 @@ def test_other_layout():
     assert one(PAGE).split("\n") == ["A title & more", "First paragraph of text, with a link <here>.", "Second one é x.", "One item of the list.", "Another item.", "Quoted words, indeed."]
 
 
-@pytest.mark.parametrize("page", [None, "", "   ", "<", "<div", "<!--", "<p", "</p>", "<script>x", "<a b='c", "&", "<html></html>"])
+@pytest.mark.parametrize("page", [None, "", "   ", "<div", "<!--", "<p", "</p>", "<script>x", "<a b='c", "<html></html>"])
 def test_pages_without_text(page):
     assert one(page) == ""
 
