@@ -23,7 +23,7 @@ class Boosted:
         # Quantiles of the values above zero: sparse features keep their resolution; zero has a bin of its own.
         self.edges = [np.unique(np.concatenate([[1e-12], np.quantile(p, quantiles)])) if len(p := c[c > 0]) else np.array([1e-12]) for c in x.T]
         b = self._bin(x)
-        mean = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
+        mean = min(max(y.mean() if len(y) else 0.1, 1e-3), 1 - 1e-3)
         self.base = float(np.log(mean / (1 - mean)))
         if len(np.unique(y)) < 2:
             return self

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, read_table, text_or_empty, written
+from .common import WORD, fresh, read_table, text_or_empty, written
 
 #: Production parameters.
 WEIGHTS = (5, 2, 1)
@@ -82,14 +82,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents of which nothing is taken go; a document of no words has nothing to take and stays once. Decisions are
     joined by doc_id, which is a key after the earlier stages; rows that share one (never after near-dedup) get the
     decision of the smallest."""
-    plan = mix(docs).groupBy("doc_id").agg(F.max("size").alias("_size"), F.min("taken").alias("_taken"))
-    j = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    epochs = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1)).cast("int")
-    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(F.lit(0))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), epochs), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    x = j.withColumn("_part", F.explode(copies))
-    cut = F.when(F.col("_part") < 0, F.col("text")).otherwise(cut_words(F.col("text"), F.col("_part")))
-    x = x.withColumn("text", cut).withColumn("n_chars", F.when(F.col("_part") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    key, size, taken, part = fresh(docs, "key", "size", "taken", "part")
+    plan = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias(size), F.min("taken").alias(taken))
+    j = docs.join(plan, docs["doc_id"].eqNullSafe(F.col(key)))
+    has = F.col(size) > 0
+    epochs = F.when(has, F.floor(F.col(taken) / F.col(size))).otherwise(F.lit(1)).cast("int")
+    left = F.when(has, F.col(taken) % F.col(size)).otherwise(F.lit(0))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), epochs), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
+    x = j.withColumn(part, F.explode(copies))
+    whole = F.col(part) < 0
+    cut = F.when(whole, F.col("text")).otherwise(cut_words(F.col("text"), F.col(part)))
+    x = x.withColumn("text", cut).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return x.select(*docs.columns)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Boosted
-from .common import read_table, text_or_empty, written
+from .common import fresh, read_table, text_or_empty, written
 
 #: Rows with this remainder of crc32(doc_id as text) mod 4 are held out; those with CALIBRATE fit the calibration only.
 HELD_OUT, CALIBRATE = 2, 3
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on labelled rows that are not held out: the lexicon and trees on two thirds, the calibration on the rest.
 
     Rows with a null label or doc_id, or without a document, are not used; a doc_id with several labels counts as
-    toxic if one of them is. Without rows of both classes the score is the share of toxic rows (1/2 without any)."""
+    toxic if one of them is. Without rows of both classes the score is the share of toxic rows (0.1 without any)."""
     own = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(remainder(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, sample / max(1, own.count()))
     own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000)).withColumnRenamed("toxic", "label")
@@ -213,7 +213,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored at THRESHOLD or more go."""
     model = fit(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs, model, out="_toxicity").filter(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "toxicity")[0]
+    return score(docs, model, out=name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}

@@ -60,3 +60,14 @@ def test_near_copies_go_once(spark):
     rows = [(1, text), (2, text), (3, text.upper()), (4, "other words are here")]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in simhash.one_of_each(spark, docs, SMALL).collect()) == [1, 4]
+
+
+def test_stages_take_nulls_and_clashing_columns(spark):
+    rows = [(1, None, None, None, None, "a"), (2, "", "en", "s", 0, "b"), (None, "some words here", None, None, 15, "c"), (3, "token = abcdef123 and more words", "en", "s", 30, "d"), (4, "w " * 50_000, "en", "hot", 100_000, "e")]
+    names = ("toxicity", "key", "size", "taken", "part", "n", "spans", "fp", "score", "rank", "bucket", "length", "component_id")
+    docs = spark.createDataFrame([(*r[:5], *[r[5]] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.count() >= 1
+        assert all(len({r[n] for n in names}) == 1 for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() > 5
