@@ -606,13 +606,16 @@ def pair_top_up(spark, sf_dir):
 
 
 def _setting(spark, sf_dir):
-    fm = mx.free_map(_grid(spark, sf_dir), THRESHOLD)
-    grid = pl.grid_from(fm, THRESHOLD)
-    z = _grid(spark, sf_dir).join(F.broadcast(mx.nav_slice(_grid(spark, sf_dir), THRESHOLD).select("iz")), "iz").agg(F.first("z")).first()[0]
-    m = pl.mixture_from(mixture(spark, sf_dir), _reference(spark, sf_dir).first()[0], LAM, POWER, z)
-    pairs = pl.topped_up(_pairs(spark, sf_dir), 30).withColumn("scene", F.lit("nav"))
+    """Pairs, scene and settings of the planner queries; the grid is made once."""
+    m, box, ref = mixture(spark, sf_dir), _box(spark, sf_dir), _reference(spark, sf_dir).first()[0]
+    reference = spark.createDataFrame([(ref,)], "density_ref double")
+    cells = mx.occupancy_grid(box, m, reference, CELLS, LAM, POWER).cache()
+    nav = mx.nav_slice(cells, THRESHOLD).select("iz").first()[0]
+    fm = cells.filter(F.col("iz") == nav).select("ix", "iy", "x", "y", "z", "p", (F.col("p") < THRESHOLD).alias("is_free"))
+    z = fm.select("z").first()[0]
+    pairs = pl.topped_up(pl.sample_pairs(fm.drop("z"), 24, 0.25, 0.8, SEED), 30).withColumn("scene", F.lit("nav"))
     rrt = pl.RrtConfig(step_size=0.06, max_iter=600, goal_radius=0.06, neighbor_radius=0.15, goal_bias=0.05, threshold=THRESHOLD, edge_step=STEP)
-    return pairs, {"nav": pl.Scene(grid, m, STEP)}, rrt
+    return pairs, {"nav": pl.Scene(pl.grid_from(fm, THRESHOLD), pl.mixture_from(m, ref, LAM, POWER, z), STEP)}, rrt
 
 
 _WALK = """RECURSIVE walk(trial, ix, iy, g) USING KEY (trial, ix, iy) AS (

@@ -15,14 +15,14 @@ QUATERNION, SHIFT = ("qw", "qx", "qy", "qz"), ("tx", "ty", "tz")
 def bracket(frames: DataFrame, poses: DataFrame, key: str = "seq", time: str = "frame") -> DataFrame:
     """Each (key, time) of `frames` with the pose at or before it (struct a) and the one at or after it (struct b).
 
-    One sort by key and time over the union of both; no range join. Distinct times are matched, not points: join the
-    result back by (key, time)."""
+    Two sorts by key and time over the union of both; no range join. The look ahead is a look back in descending
+    order: a frame that reaches to the end of its partition would be evaluated anew for each row. Distinct times are
+    matched, not points: join the result back by (key, time)."""
     fields = [c for c in poses.columns if c not in (key,)]
     p = poses.select(key, F.col(time), F.struct(*fields).alias("pose"))
     u = p.unionByName(frames.select(key, time).distinct().withColumn("pose", F.lit(None).cast(p.schema["pose"].dataType)))
-    w = Window.partitionBy(key).orderBy(time)
-    before = F.last("pose", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("pose", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    back = lambda order: F.last("pose", ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = back(F.asc(time)), back(F.desc(time))
     return u.withColumns({"a": before, "b": after}).filter("pose IS NULL").drop("pose")
 
 
