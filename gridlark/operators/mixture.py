@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import at_step, d, grid_index, occupancy
-from ..functions.ranking import hash_order, sample_exact
+from ..functions.ranking import first_rows, hash_order, sample_exact
 
 FIELDS = ("w", "mx", "my", "mz", "vx", "vy", "vz")
 _LOG_2PI = 3 * math.log(2 * math.pi)
@@ -52,7 +52,7 @@ def with_density(points: DataFrame, gmm: DataFrame, *by: str, name: str = "densi
 
 def reference_density(points: DataFrame, gmm: DataFrame, order: str, rows: int = REFERENCE_ROWS, share: float = REFERENCE_SHARE) -> DataFrame:
     """density_ref: the exact percentile of the density over the first rows by `order`."""
-    return with_density(points.orderBy(order).limit(rows), gmm).agg(F.percentile("density", F.lit(share)).alias("density_ref"))
+    return with_density(first_rows(points, order, rows), gmm).agg(F.percentile("density", F.lit(share)).alias("density_ref"))
 
 
 def with_occupancy(points: DataFrame, gmm: DataFrame, reference: DataFrame, lam: float, power: float, name: str = "p") -> DataFrame:

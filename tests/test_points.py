@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridlark.functions import geometry as g
-from gridlark.functions.ranking import hash_order, ranked, sample_exact
+from gridlark.functions.ranking import first_rows, hash_order, ranked, sample_exact
 from gridlark.operators import points as pt
 
 SCHEMA = "pid long, x double, y double, z double, semantic int"
@@ -111,3 +111,9 @@ def test_filters_reach_the_scan(spark):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(l_quantity,5.0)" in plan and "LessThanOrEqual(l_quantity,40.0)" in plan
     assert "l_returnflag" not in plan and "Exchange" not in plan
+
+
+def test_first_rows(spark):
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).alias("id")).repartition(5)
+    assert sorted(r["id"] for r in first_rows(df, "id", 30).collect()) == list(range(30))
+    assert first_rows(df, "id", 40_000).count() == 40_000
