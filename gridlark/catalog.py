@@ -693,7 +693,7 @@ def sequence_names(spark, sf_dir):
     return s.select("s_suppkey", "sequence", F.concat_ws("_", "sequence", "s_suppkey", F.lit("clean.ply")).alias("file"))
 
 
-@query("SELECT p_partkey, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size FROM (SELECT p_partkey, power(2, p_partkey % 36)::DOUBLE AS b FROM part)")
+@query("SELECT p_partkey, CASE WHEN b < 1024 THEN printf('%.1fB', b) WHEN b < 1048576 THEN printf('%.1fKB', b / 1024) WHEN b < 1073741824 THEN printf('%.1fMB', b / 1048576) ELSE printf('%.1fGB', b / 1073741824) END AS size FROM (SELECT p_partkey, power(2, p_partkey % 36)::DOUBLE AS b FROM part)")
 def human_sizes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", g.human_size(F.pow(F.lit(2.0), F.col("p_partkey") % 36)).alias("size"))
 

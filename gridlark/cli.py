@@ -96,6 +96,8 @@ def main(args: Sequence[str] | None = None) -> int:
 
         scans.register(spark)
         seq = scans.sequence_folder(a.sequence)
+        for part in ("calibration", "poses", "raw_velodyne"):
+            scans.ensure_component(a.root, part, seq)
         raw = spark.read.format("velodyne").option("point_dim", a.point_dim).load(os.path.join(a.root, "data_3d_raw", seq, "velodyne_points", "data")).withColumn("seq", F.lit(seq))
         poses = matrix_poses(scans.read_poses(spark, os.path.join(a.root, "data_poses", seq, "cam0_to_world.txt")).withColumn("seq", F.lit(seq)))
         calibration = scans.read_calibration(spark, scans.first_existing([os.path.join(a.root, "calibration")], ["calib_cam_to_velo.txt"]) or "")

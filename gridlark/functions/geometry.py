@@ -122,5 +122,5 @@ def human_size(n: Column) -> Column:
     out = F.lit(None).cast("string")
     for k in reversed(range(len(units))):
         fits = n < F.lit(1024.0 ** (k + 1)) if k < len(units) - 1 else F.lit(True)
-        out = F.when(fits, F.concat(F.format_string("%.1f", n / F.lit(1024.0**k)), F.lit(f" {units[k]}"))).otherwise(out)
+        out = F.when(fits, F.concat(F.format_string("%.1f", n / F.lit(1024.0**k)), F.lit(units[k]))).otherwise(out)
     return out

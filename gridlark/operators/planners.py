@@ -89,8 +89,9 @@ def a_star(grid: GridMap, start: np.ndarray, goal: np.ndarray) -> tuple[list[tup
     began, free = time.perf_counter(), grid.free
     (sx, gx), (sy, gy) = (a.tolist() for a in grid.cells(np.array([start, goal], float)))
     info = {"success": False, "nodes": 0, "cost": None, "error": None}
-    if not free[sx, sy] or not free[gx, gy]:
-        return None, info | {"time_s": time.perf_counter() - began, "error": "an end is occupied"}
+    for name, cell in (("start", (sx, sy)), ("goal", (gx, gy))):
+        if not free[cell]:
+            return None, info | {"time_s": time.perf_counter() - began, "error": f"{name} is occupied"}
 
     def left(x: int, y: int) -> float:
         dx, dy = abs(x - gx), abs(y - gy)
@@ -143,8 +144,9 @@ def rrt_star(map_: GridMap | MixtureMap, box: tuple[float, float, float, float],
     start, goal = np.asarray(start, float), np.asarray(goal, float)
     free = collision or edge_test(map_, config.edge_step, config.threshold)
     info = {"success": False, "nodes": 0, "cost": None, "error": None}
-    if (map_.value(np.array([start, goal])) >= config.threshold).any():
-        return None, info | {"time_s": 0.0, "error": "an end is occupied"}
+    for name, end in (("start", start), ("goal", goal)):
+        if not free(end, end):
+            return None, info | {"time_s": 0.0, "error": f"{name} is occupied"}
     at = np.empty((config.max_iter + 1, 2))
     cost, parent = np.zeros(config.max_iter + 1), np.full(config.max_iter + 1, -1)
     at[0], n, seen, best, best_cost = start, 1, 1, -1, math.inf

@@ -204,30 +204,42 @@ def first_existing(roots: Sequence[str], names: Sequence[str]) -> str | None:
     return next((p for r in roots for n in names if os.path.exists(p := os.path.join(r, n))), None)
 
 
-#: Parts of the dataset: archives that may hold them, the folder they make, and whether that is one for each sequence.
+@dataclass(frozen=True)
+class Component:
+    """A part of the dataset: archives that may hold it (in order of preference), the folders whose presence says that
+    it is there, and the members to extract (all, without any)."""
+
+    archives: tuple[str, ...]
+    folders: tuple[str, ...]
+    members: tuple[str, ...] = ()
+
+
+#: Names within the dataset; {seq} stands for the sequence.
 COMPONENTS = {
-    "calibration": (("calibration.zip",), "calibration", False),
-    "poses": (("data_poses.zip",), "data_poses", True),
-    "semantics": (("data_3d_semantics.zip", "data_3d_semantics_test.zip"), "data_3d_semantics", False),
-    "raw_velodyne": (("{seq}_velodyne.zip", "data_3d_raw_{seq}_velodyne.zip"), "data_3d_raw", True),
+    "calibration": Component(("calibration.zip",), ("calibration",)),
+    "poses": Component(("data_poses.zip",), ("data_poses/{seq}",), ("data_poses/{seq}/",)),
+    "semantics": Component(("data_3d_semantics.zip", "data_3d_semantics_train.zip"), ("data_3d_semantics/train/{seq}", "data_3d_semantics/test/{seq}"), ("data_3d_semantics/train/{seq}/", "data_3d_semantics/test/{seq}/")),
+    "raw_velodyne": Component(("{seq}_velodyne.zip",), ("data_3d_raw/{seq}/velodyne_points/data",)),
 }
 
 
 def ensure_component(root: str, component: str, sequence: str | None = None, force: bool = False) -> str:
-    """The component's folder, extracted from an archive below `root` or root/archives if it is not there yet. A folder
-    that exists is returned as it is, even with force."""
-    names, folder, each = COMPONENTS[component]
-    found = os.path.join(root, folder, sequence) if each and sequence else os.path.join(root, folder)
-    if os.path.isdir(found):
-        return found
-    archive = first_existing([root, os.path.join(root, "archives")], [n.format(seq=sequence) for n in names])
-    if archive is None:
-        raise FileNotFoundError(f"neither {found} nor an archive of {component}")
-    with zipfile.ZipFile(archive) as z:
-        inside = [n for n in z.namelist() if sequence is None or sequence in n]
-    top = folder + "/"
-    extract(archive, root if any(n.startswith(top) for n in inside) else os.path.join(root, folder), [n for n in inside if not n.endswith("/")] or None, force)
-    return found
+    """The component's folder, extracted from an archive in root/archives, root or here, if it is not there yet. A
+    folder that exists is returned as it is, even with force."""
+    if component not in COMPONENTS:
+        raise ValueError(f"unknown component {component}")
+    c = COMPONENTS[component]
+    if sequence is None and "{seq}" in c.folders[0]:
+        raise ValueError(f"{component} needs a sequence")
+    named = lambda texts: [t.format(seq=sequence) for t in texts]
+    found = first_existing([root], named(c.folders))
+    if found is None:
+        archive = first_existing([os.path.join(root, "archives"), root, "."], named(c.archives))
+        if archive is None:
+            raise FileNotFoundError(f"no {' or '.join(named(c.archives))} in {root}/archives or {root}")
+        extract(archive, root, named(c.members) or None, force)
+        found = first_existing([root], named(c.folders))
+    return found or os.path.join(root, named(c.folders)[0])
 
 
 def windows_folder(root: str, sequence: str, dynamic: bool = False) -> str:

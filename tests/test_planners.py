@@ -47,7 +47,7 @@ def test_a_star_is_optimal(rows):
 def test_gap_corner_and_ends():
     assert pl.a_star(grid(["..........", "....#....."] * 5), np.zeros(2), np.array([9.0, 9.0]))[1]["success"]
     assert pl.a_star(grid([".#", "#."]), np.zeros(2), np.ones(2))[1]["cost"] == pytest.approx(math.sqrt(2))
-    assert pl.a_star(grid(["#.", ".."]), np.zeros(2), np.ones(2))[1]["error"] == "an end is occupied"
+    assert pl.a_star(grid(["#.", ".."]), np.zeros(2), np.ones(2))[1]["error"] == "start is occupied"
     path, info = pl.a_star(grid([".."]), np.zeros(2), np.zeros(2))
     assert path == [(0, 0)] and info["cost"] == 0
 
@@ -78,7 +78,7 @@ def test_rrt_star_paths_are_free():
 def test_rrt_star_reports_failures():
     g = grid(["...", "###", "..."])
     assert pl.rrt_star(g, (0, 2, 0, 2), (0, 0), (2, 2), pl.RrtConfig(**CONFIG | {"max_iter": 50}), np.random.default_rng(0))[1]["error"] == "no path"
-    assert pl.rrt_star(g, (0, 2, 0, 2), (1, 1), (2, 2), pl.RrtConfig(**CONFIG), np.random.default_rng(0))[1] == {"success": False, "nodes": 0, "cost": None, "error": "an end is occupied", "time_s": 0.0}
+    assert pl.rrt_star(g, (0, 2, 0, 2), (1, 1), (2, 2), pl.RrtConfig(**CONFIG), np.random.default_rng(0))[1] == {"success": False, "nodes": 0, "cost": None, "error": "start is occupied", "time_s": 0.0}
 
 
 def test_user_collision_test():

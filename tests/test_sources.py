@@ -149,5 +149,11 @@ def test_folders(tmp_path):
     with zipfile.ZipFile(tmp_path / "data_poses.zip", "w") as z:
         z.writestr("data_poses/s/cam0_to_world.txt", "0")
     assert os.listdir(scans.ensure_component(str(tmp_path), "poses", "s")) == ["cam0_to_world.txt"]
-    with pytest.raises(FileNotFoundError):
-        scans.ensure_component(str(tmp_path), "calibration")
+    for name, kind in (("calibration", FileNotFoundError), ("poses", ValueError), ("other", ValueError)):
+        with pytest.raises(kind):
+            scans.ensure_component(str(tmp_path), name)
+    with zipfile.ZipFile(tmp_path / "data_3d_semantics.zip", "w") as z:
+        z.writestr("data_3d_semantics/test/t/static/w.ply", "x")
+        z.writestr("data_3d_semantics/test/u/static/w.ply", "x")
+    assert scans.ensure_component(str(tmp_path), "semantics", "t").endswith("test/t")
+    assert not os.path.exists(tmp_path / "data_3d_semantics/test/u")
