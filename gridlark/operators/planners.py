@@ -85,38 +85,43 @@ MOVES = [(i, j, math.sqrt(2) if i and j else 1.0) for i in (-1, 0, 1) for j in (
 
 def a_star(grid: GridMap, start: np.ndarray, goal: np.ndarray) -> tuple[list[tuple[float, float]] | None, dict]:
     """Shortest 8-connected walk between the cells of start and goal; corners may be cut. The path has cell centres.
-    path_cost is in metres: the cost in cells times the mean cell side."""
-    began, free = time.perf_counter(), grid.free
-    (sx, gx), (sy, gy) = (a.tolist() for a in grid.cells(np.array([start, goal], float)))
+    cost is in metres: the cost in cells times the mean cell side.
+
+    Cells are numbered row by row in a map with an occupied border, so a move is an addition and never leaves the map;
+    the distances still to go are computed for all cells at once."""
+    began, wide = time.perf_counter(), grid.p.shape[1] + 2
+    rows, columns = grid.cells(np.array([start, goal], float))
+    first, last = ((rows + 1) * wide + columns + 1).tolist()
+    passable = np.pad(grid.free, 1).ravel().tolist()
     info = {"success": False, "nodes": 0, "cost": None, "error": None}
-    for name, cell in (("start", (sx, sy)), ("goal", (gx, gy))):
-        if not free[cell]:
+    for name, cell in (("start", first), ("goal", last)):
+        if not passable[cell]:
             return None, info | {"time_s": time.perf_counter() - began, "error": f"{name} is occupied"}
-
-    def left(x: int, y: int) -> float:
-        dx, dy = abs(x - gx), abs(y - gy)
-        return dx + dy + (math.sqrt(2) - 2) * min(dx, dy)
-
-    best, came, closed = {(sx, sy): 0.0}, {}, set()
-    heap = [(left(sx, sy), 0.0, sx, sy)]
-    nx, ny = free.shape
-    while heap:
-        _, g, x, y = heapq.heappop(heap)
-        if (x, y) in closed:
+    across = np.abs(np.arange(len(grid.xs) + 2) - (rows[1] + 1))[:, None]
+    along = np.abs(np.arange(wide) - (columns[1] + 1))[None]
+    to_go = (across + along + (math.sqrt(2) - 2) * np.minimum(across, along)).ravel().tolist()
+    cost, back = [math.inf] * len(passable), [-1] * len(passable)
+    moves = [(i * wide + j, c) for i, j, c in MOVES]
+    cost[first] = 0.0
+    queue, expanded = [(to_go[first], 0.0, first)], 0
+    while queue:
+        _, g, cell = heapq.heappop(queue)
+        if g > cost[cell] or not passable[cell]:  # a cheaper way was found since, or the cell is done
             continue
-        closed.add((x, y))
-        if (x, y) == (gx, gy):
-            cells = [(x, y)]
-            while cells[-1] in came:
-                cells.append(came[cells[-1]])
-            path = [(float(grid.xs[i]), float(grid.ys[j])) for i, j in reversed(cells)]
-            return path, info | {"success": True, "nodes": len(closed), "cost": g * sum(grid.step) / 2, "time_s": time.perf_counter() - began}
-        for i, j, c in MOVES:
-            a, b = x + i, y + j
-            if 0 <= a < nx and 0 <= b < ny and free[a, b] and (a, b) not in closed and g + c < best.get((a, b), math.inf):
-                best[a, b], came[a, b] = g + c, (x, y)
-                heapq.heappush(heap, (g + c + left(a, b), g + c, a, b))
-    return None, info | {"nodes": len(closed), "time_s": time.perf_counter() - began, "error": "no path"}
+        expanded += 1
+        if cell == last:
+            walk = [cell]
+            while back[walk[-1]] >= 0:
+                walk.append(back[walk[-1]])
+            path = [(float(grid.xs[c // wide - 1]), float(grid.ys[c % wide - 1])) for c in reversed(walk)]
+            return path, info | {"success": True, "nodes": expanded, "cost": g * sum(grid.step) / 2, "time_s": time.perf_counter() - began}
+        passable[cell] = False
+        for step, c in moves:
+            near = cell + step
+            if passable[near] and g + c < cost[near]:
+                cost[near], back[near] = g + c, cell
+                heapq.heappush(queue, (g + c + to_go[near], g + c, near))
+    return None, info | {"nodes": expanded, "time_s": time.perf_counter() - began, "error": "no path"}
 
 
 # --- RRT* -----------------------------------------------------------------------------------------------------------
