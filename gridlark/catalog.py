@@ -666,6 +666,28 @@ def incremental_mapping(spark, sf_dir):
     return incremental(q, fractions=(0.2, 0.5, 1.0), components=3, max_iter=8, cells=8, queries=200, lam=LAM, power=POWER, seed=SEED, z_band=0.05)
 
 
+@query()
+def single_scene_evaluation(spark, sf_dir):
+    """Two planners on one scene, smoothed by the mixture, with safety along their paths; times include smoothing."""
+    from .plans.experiments import compare_planners, mixture_score
+
+    pairs, scenes, rrt = _setting(spark, sf_dir)
+    m = scenes["nav"].mixture
+    score = mixture_score(mixture(spark, sf_dir), spark.createDataFrame([(m.reference,)], "density_ref double"), LAM, POWER, m.z)
+    return rounded(compare_planners(pairs, scenes, rrt, SEED, ("rrt_mixture", "astar_grid"), score, "mixture", "all").drop("time_med"))
+
+
+@query()
+def incremental_planning(spark, sf_dir):
+    """Stages with trials: each stage's maps plan the same pairs, judged by the map of all points."""
+    from .plans.experiments import incremental
+
+    pairs, scenes, rrt = _setting(spark, sf_dir)
+    q = qpoints(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z")
+    own = pairs.filter("trial < 6").select("trial", "sx", "sy", "gx", "gy")
+    return rounded(incremental(q, (0.5, 1.0), 3, 6, 12, 200, LAM, POWER, SEED, 0.05, own, rrt, scenes["nav"].mixture.z))
+
+
 # --- Catalog and scalars ----------------------------------------------------------------------------------------------
 
 

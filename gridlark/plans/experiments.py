@@ -2,59 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mixture import GmmParams, fit, grid_lookup, occupancy_grid, reference_density, with_occupancy
-from ..operators.paths import lengths, smoothness
-from ..operators.planners import RrtConfig, Scene, plan_trials
+from ..operators.mixture import GmmParams, fit, grid_lookup, nav_slice, occupancy_grid, reference_density, with_occupancy
+from ..operators.paths import lengths, path_safety, smoothness, stations
+from ..operators.planners import RrtConfig, Scene, grid_from, mixture_from, plan_trials
 from ..operators.points import bounds, in_bounds_or_all
 from ..operators.stages import query_box, staged
 from ..operators.stats import median
 
 PLANNERS = ("rrt_mixture", "rrt_grid", "astar_mixture", "astar_grid")
+#: Positions along a path at which its safety is measured.
+STATIONS = 300
+
+#: Scores positions (x, y): adds p.
+Score = Callable[[DataFrame], DataFrame]
+
+
+def scene_table(spark: SparkSession, scenes: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """label, folder, split of the scenes of an evaluation."""
+    return spark.createDataFrame(list(scenes), "label string, folder string, split string")
+
+
+def mixture_score(gmm: DataFrame, reference: DataFrame, lam: float, power: float, z: float) -> Score:
+    """Occupancy by one scene's mixture on the plane z."""
+    return lambda df: with_occupancy(df.withColumn("z", F.lit(float(z))), gmm, reference, lam, power).drop("density", "z")
 
 
 def exploded(plans: DataFrame, path: str) -> DataFrame:
     return plans.filter("success").select(F.concat_ws("/", "scene", "planner", "trial").alias("path_id"), F.posexplode(path).alias("seq", "p")).select("path_id", "seq", "p.x", "p.y")
 
 
-def trial_metrics(plans: DataFrame) -> DataFrame:
-    """One row a trial and planner, metrics null where it failed."""
+def trial_metrics(plans: DataFrame, score: Score | None = None, at: str = "stations", zero: str = "floor") -> DataFrame:
+    """One row a trial and planner, metrics null where it failed: length and turns of the path as planned and as
+    smoothed, and, with a score, the largest occupancy and the mean clearance of the smoothed path. at: "stations" even
+    along the path, or its "waypoints" alone. zero: the rule for segments without length, see smoothness()."""
     out = plans.withColumn("path_id", F.concat_ws("/", "scene", "planner", "trial"))
     for path, tag in (("path", "raw"), ("smoothed", "smooth")):
         p = exploded(plans, path)
-        out = out.join(lengths(p).withColumnRenamed("length", f"{tag}_length"), "path_id", "left").join(smoothness(p, "floor").withColumnRenamed("smoothness", f"{tag}_turns"), "path_id", "left")
+        out = out.join(lengths(p).withColumnRenamed("length", f"{tag}_length"), "path_id", "left").join(smoothness(p, zero).withColumnRenamed("smoothness", f"{tag}_turns"), "path_id", "left")
+    if score is not None:
+        p = exploded(plans, "smoothed")
+        out = out.join(path_safety(score(stations(p, STATIONS) if at == "stations" else p), p), "path_id", "left")
     return out.drop("path_id")
 
 
-def compare_planners(pairs: DataFrame, scenes: dict[str, Scene], rrt: RrtConfig, seed: int, planners: Sequence[str] = PLANNERS) -> DataFrame:
-    """scene, planner: success rate and medians over successes. Plans are computed once and cached."""
-    plans = plan_trials(pairs, scenes, rrt, tuple(planners), seed).cache()
-    m = trial_metrics(plans)
-    return m.groupBy("scene", "planner").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("success").cast("double")).alias("rate"), *[median(F.col(c)).alias(c) for c in ("raw_length", "smooth_length", "raw_turns", "smooth_turns")], median(F.col("time_s")).alias("time_med"))
+def compare_planners(pairs: DataFrame, scenes: dict[str, Scene], rrt: RrtConfig, seed: int, planners: Sequence[str] = PLANNERS, score: Score | None = None, smooth_by: str = "own", timed: str = "plan") -> DataFrame:
+    """scene, planner: success rate and medians over successes (of the time over all trials). Plans are computed once
+    and cached."""
+    plans = plan_trials(pairs, scenes, rrt, tuple(planners), seed, smooth_by=smooth_by, timed=timed).cache()
+    m = trial_metrics(plans, score)
+    kept = ("raw_length", "smooth_length", "raw_turns", "smooth_turns", *(("max_occ", "mean_clearance") if score else ()))
+    return m.groupBy("scene", "planner").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("success").cast("double")).alias("rate"), *[median(F.col(c)).alias(c) for c in kept], median(F.col("time_s")).alias("time_med"))
 
 
-def incremental(points: DataFrame, fractions: Sequence[float], components: int, max_iter: int, cells: int, queries: int, lam: float, power: float, seed: int, z_band: float) -> DataFrame:
+def incremental(
+    points: DataFrame, fractions: Sequence[float], components: int, max_iter: int, cells: int, queries: int, lam: float, power: float, seed: int, z_band: float,
+    pairs: DataFrame | None = None, rrt: RrtConfig | None = None, z: float = 0.0,
+) -> DataFrame:
     """stage, fraction, n_obs, gmm_mae, grid_mae: at each stage a fresh fit on the points seen so far, compared on
     held-out positions with the fit on all points (positions outside the stage's extent are left out, unless no more
-    than 100 are inside)."""
+    than 100 are inside).
+
+    With pairs (trial, sx, sy, gx, gy) the stage's mixture (rrt_mixture) and grid (astar_grid) plan them, too, each
+    trial with the seed seed + 1000 * stage + trial: success rates, and medians over successes of the turns and of the
+    largest occupancy at the waypoints by the fit on all points."""
     spark = points.sparkSession
     s = staged(points, "pid", seed, fractions).cache()
     truth, _ = fit(s.withColumn("scene", F.lit("truth")), GmmParams(components, max_iter=max_iter, seed=seed))
+    truth = truth.drop("scene")
     ref = reference_density(points, truth, "pid")
     q = with_occupancy(query_box(spark, queries, bounds(points), seed, z_band), truth, ref, lam, power, "truth").drop("density").cache()
-    rows = []
+    names, rows = ("success", "max_occ", "turns"), []
     for i, f in enumerate(fractions):
         own = s.filter(F.col("first_stage") <= i).drop("first_stage")
         model, _ = fit(own.withColumn("scene", F.lit("stage")), GmmParams(components, max_iter=max_iter, seed=seed + i))
+        model = model.drop("scene")
         own_ref = reference_density(own, model, "pid")
-        held = in_bounds_or_all(q, bounds(own))
-        box = bounds(own, 0.1)
-        grid = occupancy_grid(box, model, own_ref, cells, lam, power)
+        held, box = in_bounds_or_all(q, bounds(own)), bounds(own, 0.1)
+        grid = occupancy_grid(box, model, own_ref, cells, lam, power).cache()
         both = grid_lookup(with_occupancy(held, model, own_ref, lam, power, "gmm").drop("density"), grid, box, cells, "cell")
         a = both.agg(F.avg(F.abs(F.col("gmm") - F.col("truth"))), F.avg(F.abs(F.col("cell") - F.col("truth")))).first()
-        rows.append((i, float(f), own.count(), round(float(a[0]), 6), round(float(a[1]), 6)))
-    return spark.createDataFrame(rows, "stage int, fraction double, n_obs long, gmm_mae double, grid_mae double")
+        row = [i, float(f), own.count(), round(float(a[0]), 6), round(float(a[1]), 6)]
+        if pairs is not None and rrt is not None:
+            nav = nav_slice(grid, rrt.threshold).first()["iz"]
+            scene = Scene(grid_from(grid.filter(F.col("iz") == nav), rrt.threshold), mixture_from(model, own_ref.first()[0], lam, power, z), rrt.edge_step)
+            plans = plan_trials(pairs.withColumn("scene", F.lit("stage")), {"stage": scene}, rrt, ("rrt_mixture", "astar_grid"), seed + 1000 * i).cache()
+            m = trial_metrics(plans, mixture_score(truth, ref, lam, power, z), "waypoints", "skip").groupBy("planner").agg(F.avg(F.col("success").cast("double")).alias("success"), median(F.col("max_occ")).alias("max_occ"), median(F.col("smooth_turns")).alias("turns"))
+            by = {r["planner"]: r for r in m.collect()}
+            row += [by[p][n] for p in ("rrt_mixture", "astar_grid") for n in names]
+            plans.unpersist()
+        grid.unpersist()
+        rows.append(tuple(row))
+    more = "".join(f", {p}_{n} double" for p in ("gmm", "grid") for n in names) if pairs is not None and rrt is not None else ""
+    return spark.createDataFrame(rows, "stage int, fraction double, n_obs long, gmm_mae double, grid_mae double" + more)

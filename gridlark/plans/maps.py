@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import hash_order, sample_exact
-from ..operators.mixture import GmmParams, fit, nav_slice, occupancy_grid, occupied_voxels, reference_density
+from ..operators.mixture import GmmParams, fit, nav_slice, occupancy_grid, occupied_voxels, reference_density, with_occupancy
 from ..operators.points import bounds, clean, project_xyz, voxel_centroids
 from ..sources.scans import register
 
@@ -22,6 +22,28 @@ def prepare_fused(spark: SparkSession, source: str, target: str, box=None, voxel
     return p
 
 
+def load_cloud(spark: SparkSession, path: str, voxel: float | None, cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """A PLY cloud as (fit points, all points): coordinates as doubles, colours, where there are any, from 0 to 1. The
+    fit points are the voxels' centroids (all points without a voxel size), at most `cap` of them by a seeded hash."""
+    register(spark)
+    df = spark.read.format("ply").load(path)
+    rgb = [c for c in ("red", "green", "blue") if c in df.columns]
+    cloud = df.select("pid", *[F.col(c).cast("double").alias(c) for c in "xyz"], *[(F.col(c) / 255.0).alias(c) for c in rgb])
+    own = voxel_centroids(cloud, voxel, *rgb).withColumn("pid", F.xxhash64("vx", "vy", "vz")).select(*cloud.columns) if voxel else cloud
+    return sample_exact(own, cap, hash_order(F.col("pid"), seed=seed), "pid"), cloud
+
+
+def load_map(spark: SparkSession, target: str, scene: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mixture, reference density and grid of a trained scene."""
+    return tuple(spark.read.parquet(f"{target}/{part}/scene={scene}") for part in ("gmm", "reference", "grid"))
+
+
+def query_map(spark: SparkSession, target: str, scene: str, points: DataFrame, lam: float, power: float) -> DataFrame:
+    """Occupancy p of points by a stored map."""
+    gmm, reference, _ = load_map(spark, target, scene)
+    return with_occupancy(points, gmm, reference, lam, power).drop("density")
+
+
 def untrained(scenes: DataFrame, done: DataFrame) -> DataFrame:
     """Scenes without a finished map."""
     return scenes.join(done.select("scene").distinct(), "scene", "left_anti")

@@ -30,10 +30,27 @@ def test_training_stores_and_reports(spark, tmp_path):
     assert got["a"]["ok"] and got["b"]["ok"] and 0 <= got["a"]["free_share"] <= 1
     grid = spark.read.parquet(f"{tmp_path}/grid")
     assert grid.filter("scene = 'a'").count() == 216 and dict(grid.dtypes)["p"] == "float"
+    p = maps.query_map(spark, str(tmp_path), "a", cloud(spark).filter("scene = 'a'").select("x", "y", "z"), 20.0, 1.0)
+    assert p.filter("p >= 0 AND p <= 1").count() == 400
     todo = maps.untrained(cloud(spark).select("scene").distinct(), spark.read.parquet(f"{tmp_path}/gmm").filter("scene = 'a'"))
     assert [r["scene"] for r in todo.collect()] == ["b"]
 
 
+def test_clouds_are_thinned_and_scaled(spark, tmp_path):
+    scans.register(spark)
+    df = spark.range(100).select(*[(F.col("id") % 10).cast("float").alias(c) for c in "xyz"], F.lit(255).cast("short").alias("red"))
+    df.coalesce(1).write.format("ply").mode("append").save(f"{tmp_path}/a")
+    few, every = maps.load_cloud(spark, f"{tmp_path}/a", 0.5, 4, 0)
+    assert few.count() == 4 and every.count() == 100 and every.first()["red"] == 1.0 and dict(every.dtypes)["x"] == "double"
+    assert maps.load_cloud(spark, f"{tmp_path}/a", None, 1000, 0)[0].count() == 100
+
+
+def test_scene_table(spark):
+    from gridlark.plans.experiments import scene_table
+
+    assert scene_table(spark, [("0a", "f", "train")]).first()["split"] == "train"
+
+
 def test_stages_are_cumulative(spark):
     df = spark.range(1000).select(F.col("id").alias("pid"), F.lit(1.0).alias("v"))
     s = staged(df, "pid", 42, (0.0, 0.1, 0.5, 1.0))
