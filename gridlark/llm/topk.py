@@ -157,10 +157,10 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
                     at, lists = row["block"], Lists(ids, np.frombuffer(batch.column("values")[i].as_py(), "<i4").reshape(row["n"], -1).astype(float))
                 rows, q_keys = np.frombuffer(row["q_rows"], "<i8"), np.frombuffer(row["q_keys"], "<i8")
                 q = np.frombuffer(row["q_values"], "<i4").reshape(len(rows), -1).astype(float)
-                width = lists.m.shape[1]
-                q, use = (q[:, :width], lists) if q.shape[1] >= width else (np.pad(q, ((0, 0), (0, width - q.shape[1]))), lists)
+                # Components that one side lacks count as zeros, so the block's own width is enough.
+                q = np.pad(q, ((0, 0), (0, max(0, lists.m.shape[1] - q.shape[1]))))[:, : lists.m.shape[1]]
                 own = rows if row["block"] == row["q_block"] else np.full(len(rows), -1)
-                found = list(threshold_search(q, own, use, k))
+                found = list(threshold_search(q, own, lists, k))
                 times = [len(r) for _, r, _ in found]
                 join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(times), row["q_block"])), pa.array(np.repeat(rows, times)), pa.array(np.repeat(q_keys, times)), pa.array(join([lists.keys[r] for _, r, _ in found])), pa.array(join([s for _, _, s in found]))], names=["q_block", "q_row", "query_id", "vec_id", "score"])
