@@ -29,7 +29,7 @@ CELLS, LAM, POWER, THRESHOLD, EXPORT = 16, 10.0, 1.0, 0.35, 0.3
 STEP, STATIONS, SEED = 0.02, 20, 42
 
 
-def query(oracle: str | None = None, **also: str) -> Callable[[Query], Query]:
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers the function under its name."""
 
     def add(f: Query) -> Query:
