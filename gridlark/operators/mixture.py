@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import at_step, d, grid_index, occupancy
 from ..functions.ranking import first_rows, hash_order, sample_exact
@@ -50,6 +51,27 @@ def with_density(points: DataFrame, gmm: DataFrame, *by: str, name: str = "densi
     return j.withColumn(name, density_of(F.col("comps"), d("x"), d("y"), d("z"))).drop("comps")
 
 
+#: Rows from which on occupancy_grid() scores Arrow batches instead of folding in the JVM.
+BULK = 100_000
+
+
+def with_density_bulk(points: DataFrame, gmm: DataFrame, name: str = "density") -> DataFrame:
+    """with_density() for one model and very many rows: its components (as many rows as the model has) go to the
+    tasks, which score Arrow batches by matrix products."""
+    c = gmm.orderBy("comp").filter("w > 0").select(*FIELDS).toPandas().to_numpy(float)
+    w, m, v = c[:, 0], c[:, 1:4], c[:, 4:7]
+    centre = m.mean(0) if len(m) else np.zeros(3)
+
+    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in "xyz"], 1) - centre
+            lp = _log_parts(x, w, m - centre, v)
+            top = lp.max(1, keepdims=True) if len(w) else np.zeros((len(x), 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.exp(top[:, 0]) * np.exp(lp - top).sum(1))], [*b.schema.names, name])
+
+    return points.mapInArrow(score, T.StructType([*points.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def reference_density(points: DataFrame, gmm: DataFrame, order: str, rows: int = REFERENCE_ROWS, share: float = REFERENCE_SHARE) -> DataFrame:
     """density_ref: the exact percentile of the density over the first rows by `order`."""
     return with_density(first_rows(points, order, rows), gmm).agg(F.percentile("density", F.lit(share)).alias("density_ref"))
@@ -81,8 +103,12 @@ def lattice(box: DataFrame, n: int, m: int | None = None) -> DataFrame:
 
 
 def occupancy_grid(box: DataFrame, gmm: DataFrame, reference: DataFrame, n: int, lam: float, power: float) -> DataFrame:
-    """ix, iy, iz, x, y, z, p over the box."""
-    return with_occupancy(lattice(box, n), gmm, reference, lam, power).drop("density")
+    """ix, iy, iz, x, y, z, p over the box; large grids are scored in bulk."""
+    cells = lattice(box, n)
+    if n**3 < BULK:
+        return with_occupancy(cells, gmm, reference, lam, power).drop("density")
+    scored = with_density_bulk(cells, gmm).join(F.broadcast(reference))
+    return scored.withColumn("p", occupancy(F.col("density"), F.col("density_ref"), lam, power)).drop("density", "density_ref")
 
 
 def slice_shares(grid: DataFrame, threshold: float) -> DataFrame:
@@ -137,9 +163,10 @@ class GmmParams:
 
 
 def _log_parts(x: np.ndarray, w, m, v) -> np.ndarray:
+    """Log of each component's part of the density at each row, as matrix products; x and m about a near centre."""
     with np.errstate(divide="ignore"):
-        base = np.log(w) - 0.5 * (np.log(v).sum(1) + _LOG_2PI)
-    return base + -0.5 * (((x[:, None, :] - m[None]) ** 2) / v[None]).sum(2)
+        base = np.log(w) - 0.5 * (np.log(v).sum(1) + _LOG_2PI + (m * m / v).sum(1))
+    return base + x @ (m / v).T - 0.5 * (x * x) @ (1 / v).T
 
 
 def sufficient_statistics(points: DataFrame, models: dict, centre: dict) -> DataFrame:

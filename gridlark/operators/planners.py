@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import hash_order
+from ..session import checkpoint_folder
 
 Edge = Callable[[np.ndarray, np.ndarray], bool]
 
@@ -310,10 +311,7 @@ def frontier_costs(free: DataFrame, pairs: DataFrame, rounds: int = 200) -> Data
     if the goal is not reachable. Each round joins the frontier with the eight moves and keeps improvements; rounds
     are checkpointed to the shared folder."""
     spark = free.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridlark-"))
+    checkpoint_folder(spark)
     cells = free.filter("is_free").select("ix", "iy")
     moves = spark.createDataFrame([(i, j, c) for i, j, c in MOVES], "di int, dj int, c double")
     known = pairs.join(cells, (F.col("sx_i") == F.col("ix")) & (F.col("sy_i") == F.col("iy"))).select("trial", "ix", "iy", F.lit(0.0).alias("g")).checkpoint()

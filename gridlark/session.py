@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,6 +30,25 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def own_folder(prefix: str) -> str:
+    """A new folder of this process, which goes with it."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir where it is set, one of this process otherwise (local
+    sessions), which becomes the session's."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("file://" + own_folder("gridlark-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's sources to the executors, once for each application, so that their Python workers can
     import it wherever they run."""
@@ -37,7 +58,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     files = sorted(p for p in root.rglob("*.py"))
     digest = hashlib.md5(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
-    path = os.path.join(tempfile.mkdtemp(prefix="gridlark-py-"), f"gridlark-{digest}.zip")
+    path = os.path.join(own_folder("gridlark-py-"), f"gridlark-{digest}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in files:
             z.write(p, p.relative_to(root.parent))

@@ -37,6 +37,29 @@ def test_forms_agree(spark):
     assert all(folded[k] == pytest.approx(v, rel=1e-9) for k, v in joined.items())
 
 
+def test_bulk_scores_agree(spark):
+    from gridlark.session import ship
+
+    ship(spark)
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(i, *map(float, v + [1e5, 0, 0])) for i, v in enumerate(rng.normal(size=(60, 3)) * 3)], "pid long, x double, y double, z double")
+    m = model(spark, *[(0.2, 1e5 + rng.normal(), *rng.normal(size=2), *(rng.random(3) + 0.1)) for _ in range(4)], (0, 0, 0, 0, 1, 1, 1))
+    a, b = ({r["pid"]: r["density"] for r in f(p, m).collect()} for f in (mx.with_density, mx.with_density_bulk))
+    assert all(b[k] == pytest.approx(v, rel=1e-6, abs=1e-12) for k, v in a.items())
+
+
+def test_large_grids_equal_small_ones(spark, monkeypatch):
+    from gridlark.operators.points import bounds
+
+    p = spark.range(50).select(F.col("id").alias("pid"), *[(F.col("id") % k).cast("double").alias(c) for k, c in ((7, "x"), (5, "y"), (3, "z"))])
+    m, ref = model(spark, (0.5, 1, 1, 1, 1, 2, 1), (0.5, 4, 3, 2, 1, 1, 1)), spark.createDataFrame([(0.02,)], "density_ref double")
+    small = {tuple(r)[:3]: r["p"] for r in mx.occupancy_grid(bounds(p, 0.1), m, ref, 6, 10.0, 1.0).collect()}
+    monkeypatch.setattr(mx, "BULK", 1)
+    large = mx.occupancy_grid(bounds(p, 0.1), m, ref, 6, 10.0, 1.0)
+    assert large.columns == ["ix", "iy", "iz", "x", "y", "z", "p"]
+    assert all(small[tuple(r)[:3]] == pytest.approx(r["p"], abs=1e-9) for r in large.collect())
+
+
 def test_occupancy_is_bounded_and_monotone(spark):
     d = spark.createDataFrame([(float(v),) for v in (-1, 0, 1e-9, 0.1, 1, 50)], "d double")
     got = [r[0] for r in d.select(g.occupancy(F.col("d"), 0.5, 10.0, 2.0)).collect()]
