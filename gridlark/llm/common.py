@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoint_folder, ship
 
 #: White space of the word definition used throughout: [^\x20\x09-\x0D]+ is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,15 +20,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set, a fresh local one otherwise (tests)."""
+    """The folder all executors share."""
     ship(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridlark-"))
-    return sc.getCheckpointDir().rstrip("/")
+    return checkpoint_folder(spark)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
