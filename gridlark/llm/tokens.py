@@ -12,8 +12,8 @@ from functools import cache
 UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]")
 #: The vocabulary's splitting rule for the characters that are left.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Pre-tokens and words kept in a worker's memory (about 200 MB together); a full cache starts anew.
-PARTS, WORDS = 700_000, 300_000
+#: Words and other pre-tokens kept in a worker's memory (about 200 MB together); a full cache starts anew.
+WORDS, PARTS = 1_000_000, 100_000
 #: A longer one isn't kept.
 LONG = 64
 
@@ -62,26 +62,38 @@ class Encoder:
                     w = rest[i]
                     x = get(w)
                     if x is None:
-                        x = self.split(w if w[0] == "\n" else " " + w)
-                        self.keep(words, w, x, WORDS)
+                        x = self.word(w)
+                        if len(w) <= LONG:
+                            if len(words) >= WORDS:
+                                words.clear()
+                            words[w] = x
                     found[i] = x
         return self.split(first) + b"".join(found)
 
+    def word(self, w: str) -> bytes:
+        """Ids of a word and the space before it, or of a line end and the word after it."""
+        if w.isalpha():
+            return self.whole(" " + w)
+        if w[-1] in ".,;:!?" and w[:-1].isalpha():
+            return self.part(" " + w[:-1]) + self.part(w[-1])
+        if w[0] == "\n":
+            return self.part("\n") + self.part(w[1:]) if w[1:].isalpha() else self.split(w)
+        return self.split(" " + w)
+
     def split(self, text: str) -> bytes:
-        parts, out = self.parts, []
-        for p in SPLIT.findall(text):
-            x = parts.get(p)
-            if x is None:
-                x = self.whole(p)
-                self.keep(parts, p, x, PARTS)
-            out.append(x)
-        return b"".join(out)
-
-    def keep(self, known: dict[str, bytes], key: str, ids: bytes, most: int) -> None:
-        if len(key) <= LONG:
-            if len(known) >= most:
-                known.clear()
-            known[key] = ids
+        return b"".join(map(self.part, SPLIT.findall(text)))
+
+    def part(self, p: str) -> bytes:
+        """Ids of a pre-token; one of a space and letters is kept with the words."""
+        known, key, most = (self.words, p[1:], WORDS) if p[0] == " " and p[1:].isalpha() else (self.parts, p, PARTS)
+        x = known.get(key)
+        if x is None:
+            x = self.whole(p)
+            if len(p) <= LONG:
+                if len(known) >= most:
+                    known.clear()
+                known[key] = x
+        return x
 
     def whole(self, text: str) -> bytes:
         ids = array("I", self.encode(text, add_special_tokens=False).ids)
