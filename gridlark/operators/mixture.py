@@ -74,7 +74,7 @@ def with_density_bulk(points: DataFrame, gmm: DataFrame, name: str = "density")
 
 def reference_density(points: DataFrame, gmm: DataFrame, order: str, rows: int = REFERENCE_ROWS, share: float = REFERENCE_SHARE) -> DataFrame:
     """density_ref: the exact percentile of the density over the first rows by `order`."""
-    return with_density(first_rows(points, order, rows), gmm).agg(F.percentile("density", F.lit(share)).alias("density_ref"))
+    return with_density_bulk(first_rows(points, order, rows).select(*"xyz"), gmm).agg(F.percentile("density", F.lit(share)).alias("density_ref"))
 
 
 def with_occupancy(points: DataFrame, gmm: DataFrame, reference: DataFrame, lam: float, power: float, name: str = "p") -> DataFrame:
