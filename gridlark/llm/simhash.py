@@ -17,6 +17,9 @@ from .common import fresh, read_table, text_or_empty, written
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+#: The pipeline stage: words of a shingle, and bands of minima by which similar documents meet.
+STAGE_SHINGLE = 5
+BANDS, ROWS = 20, 5
 #: A shard of more fingerprints than this is split again by its other bits.
 LARGE_SHARD = 2000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -159,10 +162,114 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's shingles of words (ASCII letters in lower case); empty without words."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_ONE).split(b" ")
+    words = [w for w in words if w]
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row a set, a column a band: the hash of the band's ROWS minima. Sets without members get zeros."""
+    import xxhash
+
+    rng = np.random.default_rng(SEED)
+    flip = rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
+    times = rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.zeros((len(sets), BANDS * ROWS), np.uint64)
+    full = [i for i, x in enumerate(sets) if len(x)]
+    at = 0
+    while at < len(full):
+        end, total = at, 0
+        while end < len(full) and (end == at or total + len(sets[full[end]]) <= CHUNK):
+            total += len(sets[full[end]])
+            end += 1
+        part = [sets[i] for i in full[at:end]]
+        h, starts = np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
+        for k in range(BANDS * ROWS):
+            least[full[at:end], k] = np.minimum.reduceat((h ^ flip[k]) * times[k], starts)
+        at = end
+    wide = ROWS * 8
+    keys = [[xxhash.xxh64_intdigest(raw[b * wide : (b + 1) * wide], b) for b in range(BANDS)] for raw in (r.tobytes() for r in least)]
+    return np.array(keys, np.uint64).reshape(len(sets), BANDS)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, text, fp (a hash of the shingle set), n (the set's size), bands; null text counts as empty."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in it:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+                fp = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+                bands = pa.array(band_keys(sets).view(np.int64).tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), bands], names=["doc_id", "text", "fp", "n", "bands"])
+
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    return d.mapInArrow(batches, "doc_id long, text string, fp long, n long, bands array<long>")
+
+
+def verified(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Of the pairs (fp, to) those whose shingle sets have a Jaccard similarity of 0.8 or more, exactly."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingle_set(t).view(np.int64).tolist() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "members"])
+
+    ends = pairs.select("fp").unionByName(pairs.select(F.col("to").alias("fp"))).distinct()
+    texts = sketched.select("fp", "text").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    sets = written(texts.mapInArrow(batches, "fp long, members array<long>"), "sets")
+    j = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("to"), F.col("members").alias("others")), "to")
+    both = F.size(F.array_intersect("members", "others"))
+    return j.filter(both * 9 >= (F.size("members") + F.size("others")) * 4).select("fp", "to")
+
+
+def similar_sets(sketched: DataFrame) -> DataFrame:
+    """fp, root: linked sets of the distinct shingle sets with a Jaccard similarity of 0.8 or more.
+
+    Sets that share a band's key are candidates (similarity 0.8 meets in some band with probability 0.9996) and are
+    verified exactly. First each is compared with the least of its bucket, which links dense groups without pairing
+    them; then all pairs of a bucket that are still in different sets are compared, so no candidate is left out."""
+    d = sketched.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).filter("n > 0")
+    d = d.select("fp", "n", F.explode("bands").alias("bucket"))
+    least = d.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    d = written(d.join(least, "bucket").select("bucket", "fp", "n", "first"), "buckets")
+    alike = lambda a, b: (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
+    tried = written(d.filter(F.col("fp") != F.col("first.fp")).filter(alike("n", "first.n")).select(F.col("first.fp").alias("fp"), F.col("fp").alias("to")).distinct(), "pairs")
+    edges = written(verified(tried, sketched), "edges")
+    sets = linked_sets(edges)
+    roots = sets.unionByName(sets.select(F.col("root").alias("fp"), "root")).distinct()
+    d = d.join(roots, "fp", "left").select("bucket", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    mixed = d.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    d = written(d.join(mixed, "bucket"), "mixed")
+    other = d.select("bucket", F.col("fp").alias("to"), F.col("n").alias("m"), F.col("root").alias("other"))
+    more = d.join(other, "bucket").filter((F.col("fp") < F.col("to")) & (F.col("root") != F.col("other")) & alike("n", "m")).select("fp", "to").distinct()
+    more = written(more.join(tried, ["fp", "to"], "left_anti"), "pairs")
+    return linked_sets(edges.unionByName(verified(more, sketched)))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each linked set the document with the least doc_id stays. Of rows that share that doc_id one
-    stays, the first by text; rows without a doc_id have no place in any set and stay."""
-    named = near_duplicates(docs).select("doc_id", "component_id")
+    """Pipeline stage: of each linked set the document with the least doc_id stays; documents are linked whose shingles
+    of five words have a Jaccard similarity of 0.8 or more. Of rows that share that doc_id one stays, the first by
+    text; rows without a doc_id are in no set's count and stay. Texts without words are copies of each other."""
+    sketched = written(sketches(docs), "sketches")
+    reps = written(sketched.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+    sets = similar_sets(sketched)
+    members = sets.select("root", "fp").unionByName(sets.select("root", F.col("root").alias("fp"))).distinct()
+    least = members.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
+    changed = members.join(least, "root").select("fp", "component_id")
+    names = written(reps.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    named = sketched.select("doc_id", "fp").join(names, "fp").select("doc_id", "component_id")
     go = named.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
     if named.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0:
