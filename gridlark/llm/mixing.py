@@ -41,21 +41,23 @@ def fill_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap").cast("double")))).select("source", "source_size", "weight", "target")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
     """One row a document: key, source, size, source_size, target, taken.
 
     Every document is taken floor(target / source size) times whole; the words still missing come from the source's
     documents in the order of a seeded hash, each once more, the last one in part, so a source's taken words equal
     its target rounded down. Null text has size 0; null sources form one source. Rows of one key have one place in
-    that order (ties: by size), so reruns agree; an empty table gives an empty one.
+    that order (ties: by size), so reruns agree; an empty table gives an empty one. `row` names a
+    column that tells rows of one key apart: it breaks ties and is returned too.
 
     The order is made without bringing a source together: the hash is cut into buckets, whose sums (one row for a
     source and bucket) give each bucket's first word by a running sum; only documents within a bucket are sorted. The
     number of buckets is as the root of the number of documents, so that neither their number nor their size grows in
     proportion."""
-    d = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text_or_empty(df, text)).alias("size"))
+    d = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text_or_empty(df, text)).alias("size"), *([F.col(row).alias("row")] if row else []))
     d = d.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))))
     d = written(d, "mix")
+    own = ["row"] if row else []
     buckets = 16 + 2 * isqrt(d.count())
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0**32)).cast("int"))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -63,13 +65,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     first = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(first), F.lit(0)))
     plan = starts.join(by_source, starts["source"].eqNullSafe(by_source["source"])).select(starts["source"], "bucket", "start", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("draw", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("draw", "size", "key", *own).rowsBetween(Window.unboundedPreceding, -1)
     placed = d.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    j = placed.join(plan, placed["source"].eqNullSafe(plan["source"]) & (placed["bucket"] == plan["bucket"])).select(placed["key"], placed["source"], "size", "source_size", "target", (F.col("start") + F.col("before")).alias("at"))
+    j = placed.join(plan, placed["source"].eqNullSafe(plan["source"]) & (placed["bucket"] == plan["bucket"])).select(placed["key"], placed["source"], *own, "size", "source_size", "target", (F.col("start") + F.col("before")).alias("at"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0))
     more = F.floor("target") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), more - F.col("at")))
-    return j.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return j.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"), *([F.col("row").alias(row)] if row else []))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +81,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, whole copies first, then the part's leading words.
 
-    Documents of which nothing is taken go; a document of no words has nothing to take and stays once. Decisions are
-    joined by doc_id, which is a key after the earlier stages; rows that share one (never after near-dedup) get the
-    decision of the smallest."""
-    key, size, taken, part = fresh(docs, "key", "size", "taken", "part")
-    plan = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias(size), F.min("taken").alias(taken))
-    j = docs.join(plan, docs["doc_id"].eqNullSafe(F.col(key)))
+    Documents of which nothing is taken go; a document of no words has nothing to take and stays once. Rows are numbered
+    and written first, so that each has its own decision, whether or not it has a doc_id or shares one."""
+    row, size, taken, part = fresh(docs, "row", "size", "taken", "part")
+    own = F.struct(F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    d = written(docs.withColumn(row, own), "rows")
+    plan = mix(d, row=row).select(F.col(row), F.col("size").alias(size), F.col("taken").alias(taken))
+    j = d.join(plan, row)
     has = F.col(size) > 0
     epochs = F.when(has, F.floor(F.col(taken) / F.col(size))).otherwise(F.lit(1)).cast("int")
     left = F.when(has, F.col(taken) % F.col(size)).otherwise(F.lit(0))

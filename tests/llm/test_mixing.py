@@ -69,3 +69,16 @@ def test_stage_takes_what_the_mix_takes(spark):
     for k, p in plan.items():
         assert words.get(k, 0) == p["taken"]
     assert all(k in words for k, p in plan.items() if p["size"] == 0)
+
+
+def test_stage_takes_each_row_without_doc_id_by_itself(spark):
+    rows = [(None, " ".join(f"w{i}-{j}" for j in range(n)), "a", "x") for i, n in enumerate((0, 3, 7, 40, 40, 100))] + [(1, "v " * 30, "b", "x"), (2, "u " * 5, "b", "x")]
+    docs = frame(spark, rows).withColumnRenamed("size", "lang").selectExpr("*", "cast(length(text) as long) as n_chars")
+    plan = M.mix(docs).collect()
+    out = M.mixed(spark, docs, SMALL).collect()
+    for source in "ab":
+        assert sum(len(r["text"].split()) for r in out if r["source"] == source) == sum(r["taken"] for r in plan if r["source"] == source)
+    assert [r["text"] for r in out].count("") == 1
+    for i, n in enumerate((3, 7, 40, 40, 100), 1):
+        mine = sum(len(r["text"].split()) for r in out if r["text"].startswith(f"w{i}-"))
+        assert mine in {r["taken"] for r in plan if r["size"] == n and r["source"] == "a"}
