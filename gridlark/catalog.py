@@ -17,6 +17,7 @@ from .operators import points as pt
 from .operators import poses as po
 from .operators import stages as sg
 from .operators import stats as st
+from .session import checkpoint_folder
 from .views import POINT_ORDER, mixture, path_points, points, poses, probes, qpoints, sql, table, trials
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -734,6 +735,19 @@ def parent_chain(spark, sf_dir):
       UNION ALL SELECT w.start, t.parent, w.depth + 1 FROM w JOIN gridlark_tree t ON t.node = w.node WHERE w.node > 0) SELECT start, max(depth) AS depth, count(*) AS nodes FROM w GROUP BY start""")
 
 
+@query("""WITH RECURSIVE t AS (SELECT event_id AS node, event_id // 3 AS parent FROM events), w AS (SELECT node AS start, node, 0 AS depth FROM t UNION ALL SELECT w.start, t.parent, w.depth + 1 FROM w JOIN t ON t.node = w.node WHERE w.node > 0) SELECT start, max(depth)::INTEGER AS depth, count(*) AS nodes FROM w GROUP BY start""")
+def parent_chain_all(spark, sf_dir):
+    """Walks from every node (parent_chain: one in 500) by checkpointed joins: recursive queries have a limit of rows."""
+    checkpoint_folder(spark)
+    t = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.expr("event_id div 3").alias("parent"))
+    w = t.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).checkpoint()
+    all_rows = w
+    while not w.isEmpty():
+        w = w.filter("node > 0").join(t, "node").select("start", F.col("parent").alias("node"), (F.col("depth") + 1).alias("depth")).checkpoint()
+        all_rows = all_rows.unionByName(w)
+    return all_rows.groupBy("start").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes"))
+
+
 @query("SELECT s.scene, p.planner, t.trial FROM (SELECT DISTINCT (o_custkey % 10)::INTEGER AS scene FROM orders) s, (SELECT DISTINCT o_orderpriority AS planner FROM orders) p, (SELECT i AS trial FROM range(20) r(i)) t")
 def work_matrix(spark, sf_dir):
     t = trials(spark, sf_dir)

@@ -24,3 +24,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert e.oracle_sql().keys() <= e.queries().keys() and catalog.QUERIES.keys() <= e.queries().keys()
+
+
+def test_walks_start_from_every_node(spark):
+    nodes = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id").distinct().count()
+    assert catalog.QUERIES["parent_chain_all"](spark, SMALL).count() == nodes
