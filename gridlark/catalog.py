@@ -160,6 +160,14 @@ def frame_and_intensity(spark, sf_dir):
     return p.select("frame", "ok", "ln", F.lit(0.0).cast("float").alias("intensity"), F.row_number().over(Window.partitionBy("frame").orderBy(*POINT_ORDER)).alias("nr"))
 
 
+@query(f"{P} SELECT frame, ok, ln, 0::FLOAT AS intensity, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, pk, sk, x)::INTEGER AS nr FROM points")
+def frame_and_intensity_all(spark, sf_dir):
+    """Frame, intensity and number of all points; frame_and_intensity is that of every tenth frame."""
+    from pyspark.sql.window import Window
+
+    return points(spark, sf_dir).select("frame", "ok", "ln", F.lit(0.0).cast("float").alias("intensity"), F.row_number().over(Window.partitionBy("frame").orderBy(*POINT_ORDER)).alias("nr"))
+
+
 @query(f"{P} SELECT count(*) AS before, count(*) FILTER (WHERE {_BOX}) AS inside, count(DISTINCT ({_VOXEL})) AS voxels, round(avg(({_BOX})::INTEGER::DOUBLE) * 100, 6) AS inside_pct FROM points")
 def points_counts(spark, sf_dir):
     keys = [g.voxel(F.col(c), 2.5) for c in "xyz"]
