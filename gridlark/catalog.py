@@ -145,6 +145,12 @@ def xyz_only(spark, sf_dir):
     return rounded(pt.project_xyz(points(spark, sf_dir).filter("frame < 1300"), xyz_only=True))
 
 
+@query(f"{P} SELECT round(x, 6) AS x, y, round(z, 6) AS z FROM points")
+def xyz_only_all(spark, sf_dir):
+    """The projection of all points; xyz_only is that of the first days."""
+    return rounded(pt.project_xyz(points(spark, sf_dir), xyz_only=True))
+
+
 @query(f"""{P}, n AS (SELECT ok, ln, pk, sk, x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z FROM points),
 r AS (SELECT *, row_number() OVER (PARTITION BY floor(x::DOUBLE / 0.5)::BIGINT, floor(y::DOUBLE / 0.5)::BIGINT, floor(z::DOUBLE / 0.5)::BIGINT ORDER BY ok, ln, pk, sk, x) AS k FROM n) SELECT ok, ln, pk, sk, x, y, z FROM r WHERE k = 1""")
 def narrow_then_voxel(spark, sf_dir):

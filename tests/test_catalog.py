@@ -34,3 +34,8 @@ def test_walks_start_from_every_node(spark):
 def test_frames_are_given_to_all_points(spark):
     many = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert catalog.QUERIES["frame_and_intensity_all"](spark, SMALL).count() == many
+
+
+def test_projection_takes_all_points(spark):
+    many = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert catalog.QUERIES["xyz_only_all"](spark, SMALL).count() == many
