@@ -121,12 +121,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards(fps, radius).repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(batches, "fp long, to long")
 
 
-def linked_sets(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def linked_sets(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """fp, root: for every end of an edge the least end reachable from it (large star, small star; each round is
-    written to the shared folder, and the number of rounds grows as the logarithm of the longest chain)."""
+    written to the shared folder, and the number of rounds grows as the logarithm of the longest chain). It goes on until
+    nothing changes; if `rounds` are given and run out before, that is an error."""
     e = written(edges.select(F.greatest("fp", "to").alias("u"), F.least("fp", "to").alias("v")).filter("u != v").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    before, done = None, 0
+    while True:
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"sets not settled after {rounds} rounds")
+        done += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()

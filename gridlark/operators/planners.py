@@ -306,17 +306,21 @@ def topped_up(pairs: DataFrame, n: int) -> DataFrame:
     return t.join(p, "k").drop("k", "m", "h")
 
 
-def frontier_costs(free: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def frontier_costs(free: DataFrame, pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Cheapest costs by relaxing frontiers as joins (a check of the planner on small maps): trial, cost in cells; null
     if the goal is not reachable. Each round joins the frontier with the eight moves and keeps improvements; rounds
-    are checkpointed to the shared folder."""
+    are checkpointed to the shared folder. It goes on until nothing improves; if `rounds` are given and run out before,
+    that is an error."""
     spark = free.sparkSession
     checkpoint_folder(spark)
     cells = free.filter("is_free").select("ix", "iy")
     moves = spark.createDataFrame([(i, j, c) for i, j, c in MOVES], "di int, dj int, c double")
     known = pairs.join(cells, (F.col("sx_i") == F.col("ix")) & (F.col("sy_i") == F.col("iy"))).select("trial", "ix", "iy", F.lit(0.0).alias("g")).checkpoint()
-    frontier = known
-    for _ in range(rounds):
+    frontier, done = known, 0
+    while True:
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"costs not settled after {rounds} rounds")
+        done += 1
         step = frontier.crossJoin(F.broadcast(moves)).select("trial", (F.col("ix") + F.col("di")).alias("ix"), (F.col("iy") + F.col("dj")).alias("iy"), (F.col("g") + F.col("c")).alias("g")).join(cells, ["ix", "iy"], "left_semi").groupBy("trial", "ix", "iy").agg(F.min("g").alias("g"))
         old = known.withColumnRenamed("g", "old")
         frontier = step.join(old, ["trial", "ix", "iy"], "left").filter("old IS NULL OR g < old - 1e-9").select("trial", "ix", "iy", "g").checkpoint()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -179,3 +180,10 @@ def test_stage_links_edited_copies(spark):
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert len(want) < len(texts) - 60
     assert sorted(r["doc_id"] for r in S.one_of_each(spark, df, SMALL).collect()) == want
+
+
+def test_sets_that_are_not_settled_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "fp long, to long")
+    assert {r["root"] for r in S.linked_sets(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        S.linked_sets(chain, rounds=1)

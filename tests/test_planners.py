@@ -118,3 +118,11 @@ def test_trials_on_spark(spark, mode):
     again = pl.plan_trials(pairs.repartition(3), {"s": pl.Scene(g, m, 0.1)}, pl.RrtConfig(**CONFIG | {"max_iter": 200}), ("astar_grid", "rrt_mixture"), 42, mode).collect()
     key = lambda r: (r["planner"], r["trial"], r["path"])
     assert sorted(map(key, out)) == sorted(map(key, again))
+
+
+def test_frontiers_that_are_not_settled_are_an_error(spark):
+    free = spark.createDataFrame([(i, 0, True) for i in range(5)], "ix int, iy int, is_free boolean")
+    pairs = spark.createDataFrame([(0, 0, 0, 4, 0)], "trial long, sx_i int, sy_i int, gx_i int, gy_i int")
+    assert [r["cost"] for r in pl.frontier_costs(free, pairs).collect()] == [4.0]
+    with pytest.raises(RuntimeError):
+        pl.frontier_costs(free, pairs, rounds=2)
