@@ -28,6 +28,9 @@ ORACLES: dict[str, str] = {}
 BOX = (5.0, 60.0, 5.0, 40.0, 1.0, 9.0)
 CELLS, LAM, POWER, THRESHOLD, EXPORT = 16, 10.0, 1.0, 0.35, 0.3
 STEP, STATIONS, SEED = 0.02, 20, 42
+#: The growing maps: shares of the points seen, size of the fits and grids, held-out positions (experiment3_dynamic.py:55-68).
+REVEALED = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT = 32, 60, 64, 3000
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -678,7 +681,7 @@ def incremental_mapping(spark, sf_dir):
     from .plans.experiments import incremental
 
     q = qpoints(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z")
-    return incremental(q, fractions=(0.2, 0.5, 1.0), components=3, max_iter=8, cells=8, queries=200, lam=LAM, power=POWER, seed=SEED, z_band=0.05)
+    return incremental(q, REVEALED, FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT, LAM, POWER, SEED, 0.05)
 
 
 @query()
@@ -699,8 +702,8 @@ def incremental_planning(spark, sf_dir):
 
     pairs, scenes, rrt = _setting(spark, sf_dir)
     q = qpoints(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z")
-    own = pairs.filter("trial < 6").select("trial", "sx", "sy", "gx", "gy")
-    return rounded(incremental(q, (0.5, 1.0), 3, 6, 12, 200, LAM, POWER, SEED, 0.05, own, rrt, scenes["nav"].mixture.z))
+    own = pairs.select("trial", "sx", "sy", "gx", "gy")
+    return rounded(incremental(q, REVEALED, FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT, LAM, POWER, SEED, 0.05, own, rrt, scenes["nav"].mixture.z))
 
 
 # --- Catalog and scalars ----------------------------------------------------------------------------------------------

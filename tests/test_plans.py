@@ -117,3 +117,24 @@ def test_command_line(spark, dataset, capsys, monkeypatch):
 def test_bad_crops(text):
     with pytest.raises(ValueError):
         cli.crop(text)
+
+
+def test_growing_maps_have_all_stages_and_pairs(spark, monkeypatch):
+    from gridlark import catalog
+    from gridlark.plans import experiments
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args):
+        raise Seen(*args)
+
+    monkeypatch.setattr(experiments, "incremental", seen)
+    for name in ("incremental_mapping", "incremental_planning"):
+        with pytest.raises(Seen) as e:
+            catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        _, fractions, components, rounds, cells, held, *rest = e.value.args
+        assert fractions == (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+        assert (components, rounds, cells, held) == (32, 60, 64, 3000)
+        if name == "incremental_planning":
+            assert rest[4].count() == 30
