@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import at_step, d, grid_index, occupancy
 from ..functions.ranking import first_rows, hash_order, sample_exact
+from ..session import mapped
 
 FIELDS = ("w", "mx", "my", "mz", "vx", "vy", "vz")
 _LOG_2PI = 3 * math.log(2 * math.pi)
@@ -69,7 +70,7 @@ def with_density_bulk(points: DataFrame, gmm: DataFrame, name: str = "density")
             top = lp.max(1, keepdims=True) if len(w) else np.zeros((len(x), 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.exp(top[:, 0]) * np.exp(lp - top).sum(1))], [*b.schema.names, name])
 
-    return points.mapInArrow(score, T.StructType([*points.schema.fields, T.StructField(name, T.DoubleType())]))
+    return mapped(points, score, T.StructType([*points.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def reference_density(points: DataFrame, gmm: DataFrame, order: str, rows: int = REFERENCE_ROWS, share: float = REFERENCE_SHARE) -> DataFrame:
@@ -193,7 +194,7 @@ def sufficient_statistics(points: DataFrame, models: dict, centre: dict) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.float64()) for c in cols[2:]]], names=["scene", "comp", "r", "rx", "ry", "rz", "rxx", "ryy", "rzz", "ll"])
 
     sums = ("r", "rx", "ry", "rz", "rxx", "ryy", "rzz", "ll")
-    return points.select("scene", *[d(c).alias(c) for c in "xyz"]).mapInArrow(partial, schema).groupBy("scene", "comp").agg(*[F.sum(c).alias(c) for c in sums])
+    return mapped(points.select("scene", *[d(c).alias(c) for c in "xyz"]), partial, schema).groupBy("scene", "comp").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import hash_order
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, ship
 
 Edge = Callable[[np.ndarray, np.ndarray], bool]
 
@@ -240,6 +240,7 @@ def plan_trials(pairs: DataFrame, scenes: dict[str, Scene], rrt: RrtConfig, plan
     all tasks. mode="sequential": one generator a scene and planner runs through its trials in order, which ties them
     to one task. smooth_by: "own" smooths with the planner's map, "mixture" always with the mixture. timed: "plan", or
     "all" for the time with smoothing."""
+    ship(pairs.sparkSession)
     sent = pairs.sparkSession.sparkContext.broadcast(scenes)
     conf = asdict(rrt)
     if mode not in ("per_trial", "sequential"):

@@ -5,14 +5,17 @@ from __future__ import annotations
 import atexit
 import hashlib
 import os
+import re
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -38,17 +41,43 @@ def own_folder(prefix: str) -> str:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set, one of this process otherwise (local
-    sessions), which becomes the session's."""
+    """The folder that all executors share: spark.checkpoint.dir, or the folder the context already has. Only a session
+    whose executors run in this process may be without one: it gets a folder of this process, elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: the master is {sc.master}")
         sc.setCheckpointDir("file://" + own_folder("gridlark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables go, below the shared folder; it goes with the process."""
+    path = f"{checkpoint_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(remove_tables, spark)
+    return path
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables; frames that read them cannot be used any more."""
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/tables/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mapped(df: DataFrame, batches: Callable, schema) -> DataFrame:
+    """df.mapInArrow() of a function that imports this package: its sources are sent first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(batches, schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's sources to the executors, once for each application, so that their Python workers can
     import it wherever they run."""
