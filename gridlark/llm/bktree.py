@@ -30,7 +30,7 @@ def build(points: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return parent, key, level
 
 
-def pairs_within(points: np.ndarray, tree: np.ndarray, radius: int, block: int = 4096):
+def pairs_within(points: np.ndarray, tree: np.ndarray, radius: int, block: int = 1024):
     """Yields arrays (i, j), i < j: the pairs of one tree within the radius. Queries go in blocks to bound memory."""
     n = len(points)
     if not n:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder, ship
+from ..session import mapped as mapped, ship, tables_folder
 
 #: White space of the word definition used throughout: [^\x20\x09-\x0D]+ is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,20 +20,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share."""
-    ship(spark)
-    return checkpoint_folder(spark)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df`, written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    ship(spark)
+    path = f"{tables_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, file: str, place: str) -> DataFrame:
+    """`df` with two longs that together name each row, the same whenever the frame is read again: the row's file (by a
+    hash of its path) and its place there, if `df` is a Parquet table as it was read; else a number written with it."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            m = df.metadataColumn("_metadata")
+            return df.select("*", F.xxhash64(m["file_path"]).alias(file), m["row_index"].alias(place))
+        except AnalysisException:  # a format whose files have no numbered rows
+            pass
+    return written(df.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(place)), "rows")
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with no column of `df`."""
     taken = {c.lower() for c in df.columns}

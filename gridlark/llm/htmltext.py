@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import mapped, read_table
 from .dom import Page, read
 
 BOILER, CONTENT, MIXED = 0, 1, 2
@@ -354,7 +354,7 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFr
             got = extract(b.column(html).to_pylist(), trained)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, out])
 
-    return df.mapInArrow(batches, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return mapped(df, batches, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

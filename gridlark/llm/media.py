@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, text_or_empty
+from .common import mapped, read_table, text_or_empty
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Pixels of a row; three 8-bit samples each, so a row holds 192 bytes of payload.
@@ -154,7 +154,7 @@ def add_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFram
             made = [encode_png(padded((t or "").encode())) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, out])
 
-    return df.mapInArrow(batches, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return mapped(df, batches, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def read_media(df: DataFrame, media: str = "media", out: tuple[str, str] = ("payload", "feature")) -> DataFrame:
@@ -166,7 +166,7 @@ def read_media(df: DataFrame, media: str = "media", out: tuple[str, str] = ("pay
             got = [(None, None) if x is None else (p := decode_png(x), low_frequency_hash(*p)) for x in b.column(media).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p and p[0] for p, _ in got], pa.binary()), pa.array([f for _, f in got], pa.string())], [*b.schema.names, *out])
 
-    return df.mapInArrow(batches, T.StructType([*df.schema.fields, T.StructField(out[0], T.BinaryType()), T.StructField(out[1], T.StringType())]))
+    return mapped(df, batches, T.StructType([*df.schema.fields, T.StructField(out[0], T.BinaryType()), T.StructField(out[1], T.StringType())]))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, fresh, read_table, text_or_empty, written
+from .common import WORD, fresh, numbered, read_table, text_or_empty, written
 
 #: Production parameters.
 WEIGHTS = (5, 2, 1)
@@ -81,13 +81,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, whole copies first, then the part's leading words.
 
-    Documents of which nothing is taken go; a document of no words has nothing to take and stays once. Rows are numbered
-    and written first, so that each has its own decision, whether or not it has a doc_id or shares one."""
-    row, size, taken, part = fresh(docs, "row", "size", "taken", "part")
-    own = F.struct(F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
-    d = written(docs.withColumn(row, own), "rows")
-    plan = mix(d, row=row).select(F.col(row), F.col("size").alias(size), F.col("taken").alias(taken))
-    j = d.join(plan, row)
+    Documents of which nothing is taken go; a document of no words has nothing to take and stays once. Rows are told
+    apart by where they stand, so that each has its own decision, whether or not it has a doc_id or shares one."""
+    file, place, row, size, taken, part = fresh(docs, "file", "place", "row", "size", "taken", "part")
+    own = F.struct(F.xxhash64("text").alias("hash"), F.col(file).alias("file"), F.col(place).alias("place"))
+    d = numbered(docs, file, place).withColumn(row, own)
+    plan = mix(d, row=row).select(F.col(f"{row}.file").alias(file), F.col(f"{row}.place").alias(place), F.col("size").alias(size), F.col("taken").alias(taken))
+    j = d.drop(row).join(plan, [file, place])
     has = F.col(size) > 0
     epochs = F.when(has, F.floor(F.col(taken) / F.col(size))).otherwise(F.lit(1)).cast("int")
     left = F.when(has, F.col(taken) % F.col(size)).otherwise(F.lit(0))

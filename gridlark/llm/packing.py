@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import read_table, text_or_empty, written
+from .common import mapped, read_table, text_or_empty, written
 
 #: Production parameters.
 CAPACITY = 2048
@@ -215,7 +215,7 @@ def tokenize_pieces(df: DataFrame, path: str, text: str = "text", key: str = "do
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
 
-    return df.select(df[key].cast("long"), text_or_empty(df, text)).mapInArrow(batches, PIECES)
+    return mapped(df.select(df[key].cast("long"), text_or_empty(df, text)), batches, PIECES)
 
 
 def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -246,7 +246,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capa
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(place["sequence"][i] + rank - place["rank"][i]), pa.array(place["offset"][i])], names=[*PIECES.names, "sequence_id", "offset"])
 
     out = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*PIECES.names, F.col("rank").cast("long")).mapInArrow(batches, out)
+    return mapped(ranked.select(*PIECES.names, F.col("rank").cast("long")), batches, out)
 
 
 def vocabulary() -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automata import Automaton, learn
-from .common import read_table, text_or_empty
+from .common import mapped, read_table, text_or_empty
 
 #: Fixed patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -123,7 +123,7 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "spans", margin:
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t or "", margin)] for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], [*b.schema.names, out])
 
-    return df.mapInArrow(batches, T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
+    return mapped(df, batches, T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -147,7 +147,7 @@ def redact_secrets(df: DataFrame, text: str = "text", mask: str = "[SECRET]") ->
             columns[i] = pa.array([clean(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return df.mapInArrow(batches, df.schema)
+    return mapped(df, batches, df.schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

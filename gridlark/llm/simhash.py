@@ -9,17 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import fresh, read_table, text_or_empty, written
+from .common import mapped, read_table, text_or_empty, written
 
 #: Production parameters.
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
-#: The pipeline stage: words of a shingle, and bands of minima by which similar documents meet.
-STAGE_SHINGLE = 5
-BANDS, ROWS = 20, 5
 #: A shard of more fingerprints than this is split again by its other bits.
 LARGE_SHARD = 2000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -44,11 +40,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     stops = ends[len(words) - n :].tolist()
     digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for a in range(0, n, CHUNK):
-        h = np.array([digest(line[s:e], seed) for s, e in zip(starts[a : a + CHUNK], stops[a : a + CHUNK], strict=True)], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += set_bits(np.array([digest(line[s:e], seed) for s, e in zip(starts[a : a + CHUNK], stops[a : a + CHUNK], strict=True)], "<u8"))
     return int.from_bytes(np.packbits(total * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fp (the fingerprint's 64 bits as a long). Null text counts as empty: fingerprint zero."""
 
@@ -57,7 +57,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
-    return df.select(df[key].cast("long").alias("key"), text_or_empty(df, text)).mapInArrow(batches, "key long, fp long")
+    return mapped(df.select(df[key].cast("long").alias("key"), text_or_empty(df, text)), batches, "key long, fp long")
 
 
 def _bits(fp: Column, low: int, n: int) -> Column:
@@ -65,29 +65,55 @@ def _bits(fp: Column, low: int, n: int) -> Column:
 
 
 def shards(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """shard, k, fp: every fingerprint in each shard that it shares with all others within the radius.
+    """shard, fp: every fingerprint in each shard that it shares with all others within the radius; `fps` are distinct.
 
     The 64 bits are cut into radius + 2 blocks; two fingerprints within the radius agree on 2 blocks at least, so
     they meet in the shard of those two blocks. A shard of over LARGE_SHARD fingerprints (one key can hold a third of
-    all) is split again by radius + 1 parts of its other bits, on one of which two such fingerprints agree."""
+    all) is split by radius + 1 parts of its other bits, on one of which two such fingerprints agree, again and again:
+    each time fewer bits are left to differ in, so that no shard stays large."""
     blocks = radius + 2
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(blocks)]
-    both = list(combinations(range(blocks), 2))
-    keys = F.array(*[F.struct(F.lit(c).alias("c"), _bits(F.col("fp"), *spans[i]).alias("a"), _bits(F.col("fp"), *spans[j]).alias("b")) for c, (i, j) in enumerate(both)])
-    d = fps.select("fp", F.explode(keys).alias("s")).select("fp", "s.c", F.xxhash64("s.c", "s.a", "s.b").alias("shard"))
-    sizes = d.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    d = d.join(sizes, "shard")
-    parts = []
-    for c, (i, j) in enumerate(both):
-        rest = [p for k in range(blocks) if k not in (i, j) for p in range(spans[k][0], sum(spans[k]))]
-        per = [rest[len(rest) * k // (radius + 1) : len(rest) * (k + 1) // (radius + 1)] for k in range(radius + 1)]
-        masks = [sum(1 << p for p in ps) for ps in per]
-        masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-        parts.append(F.when(F.col("c") == c, F.array(*[F.xxhash64("shard", F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])))
-    small = d.filter(F.col("n") <= LARGE_SHARD).select("shard", "fp")
-    large = d.filter(F.col("n") > LARGE_SHARD).select(F.explode(F.coalesce(*parts)).alias("shard"), "fp")
-    return small.unionByName(large)
+    mask = lambda i: ((1 << spans[i][1]) - 1) << spans[i][0]
+    keys = [
+        F.struct(F.lit(c).alias("c"), _bits(F.col("fp"), *spans[i]).alias("a"), _bits(F.col("fp"), *spans[j]).alias("b"), F.lit(_signed(~(mask(i) | mask(j)))).cast("long").alias("rest"))
+        for c, (i, j) in enumerate(combinations(range(blocks), 2))
+    ]
+    d = fps.select("fp", F.explode(F.array(*keys)).alias("s")).select(F.xxhash64("s.c", "s.a", "s.b").alias("shard"), "fp", "s.rest")
+    found: DataFrame | None = None
+    while True:
+        sizes = written(d.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_count(F.max("rest")).alias("free")).filter("n > 1"), "shard-sizes")
+        large = (F.col("n") > LARGE_SHARD) & (F.col("free") > radius)
+        small = d.join(sizes.filter(~large), "shard").select("shard", "fp")
+        found = small if found is None else found.unionByName(small)
+        if sizes.filter(large).isEmpty():
+            return found
+        d = written(_split(d.join(sizes.filter(large), "shard").select("shard", "fp", "rest"), radius), "shards")
+
+
+def _signed(bits: int) -> int:
+    bits &= (1 << 64) - 1
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _split(d: DataFrame, radius: int) -> DataFrame:
+    """Each row (shard, fp, rest) in radius + 1 shards, by as many parts of the bits in `rest`."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in it:
+            out: list[tuple[int, int, int]] = []
+            for shard, fp, rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                free = [p for p in range(64) if rest >> p & 1]
+                for k in range(radius + 1):
+                    own = sum(1 << p for p in free[len(free) * k // (radius + 1) : len(free) * (k + 1) // (radius + 1)])
+                    name = xxhash.xxh64_intdigest(f"{shard}:{k}:{fp & own}".encode())
+                    out.append((_signed(name), fp, _signed(rest & ~own)))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "fp", "rest"])
+
+    return mapped(d, batches, "shard long, fp long, rest long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -118,14 +144,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield solve(*rest)
 
-    return shards(fps, radius).repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(batches, "fp long, to long")
+    return mapped(shards(fps, radius).repartition("shard").sortWithinPartitions("shard", "fp"), batches, "fp long, to long")
 
 
 def linked_sets(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """fp, root: for every end of an edge the least end reachable from it (large star, small star; each round is
     written to the shared folder, and the number of rounds grows as the logarithm of the longest chain). It goes on until
     nothing changes; if `rounds` are given and run out before, that is an error."""
-    e = written(edges.select(F.greatest("fp", "to").alias("u"), F.least("fp", "to").alias("v")).filter("u != v").distinct(), "edges")
+    e = written(edges.select(F.greatest(*edges.columns).alias("u"), F.least(*edges.columns).alias("v")).filter("u != v").distinct(), "edges")
     before, done = None, 0
     while True:
         if rounds is not None and done >= rounds:
@@ -166,122 +192,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
-    """The sorted distinct XXH64 of a text's shingles of words (ASCII letters in lower case); empty without words."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_ONE).split(b" ")
-    words = [w for w in words if w]
-    if not words:
-        return np.empty(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row a set, a column a band: the hash of the band's ROWS minima. Sets without members get zeros."""
-    import xxhash
-
-    rng = np.random.default_rng(SEED)
-    flip = rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
-    times = rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.zeros((len(sets), BANDS * ROWS), np.uint64)
-    full = [i for i, x in enumerate(sets) if len(x)]
-    at = 0
-    while at < len(full):
-        end, total = at, 0
-        while end < len(full) and (end == at or total + len(sets[full[end]]) <= CHUNK):
-            total += len(sets[full[end]])
-            end += 1
-        part = [sets[i] for i in full[at:end]]
-        h, starts = np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
-        for k in range(BANDS * ROWS):
-            least[full[at:end], k] = np.minimum.reduceat((h ^ flip[k]) * times[k], starts)
-        at = end
-    wide = ROWS * 8
-    keys = [[xxhash.xxh64_intdigest(raw[b * wide : (b + 1) * wide], b) for b in range(BANDS)] for raw in (r.tobytes() for r in least)]
-    return np.array(keys, np.uint64).reshape(len(sets), BANDS)
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fp (a hash of the shingle set), n (the set's size), bands; null text counts as empty."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for whole in it:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-                fp = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-                bands = pa.array(band_keys(sets).view(np.int64).tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), bands], names=["doc_id", "text", "fp", "n", "bands"])
-
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return d.mapInArrow(batches, "doc_id long, text string, fp long, n long, bands array<long>")
-
-
-def verified(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Of the pairs (fp, to) those whose shingle sets have a Jaccard similarity of 0.8 or more, exactly."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            sets = [shingle_set(t).view(np.int64).tolist() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "members"])
-
-    ends = pairs.select("fp").unionByName(pairs.select(F.col("to").alias("fp"))).distinct()
-    texts = sketched.select("fp", "text").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    sets = written(texts.mapInArrow(batches, "fp long, members array<long>"), "sets")
-    j = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("to"), F.col("members").alias("others")), "to")
-    both = F.size(F.array_intersect("members", "others"))
-    return j.filter(both * 9 >= (F.size("members") + F.size("others")) * 4).select("fp", "to")
-
-
-def similar_sets(sketched: DataFrame) -> DataFrame:
-    """fp, root: linked sets of the distinct shingle sets with a Jaccard similarity of 0.8 or more.
-
-    Sets that share a band's key are candidates (similarity 0.8 meets in some band with probability 0.9996) and are
-    verified exactly. First each is compared with the least of its bucket, which links dense groups without pairing
-    them; then all pairs of a bucket that are still in different sets are compared, so no candidate is left out."""
-    d = sketched.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).filter("n > 0")
-    d = d.select("fp", "n", F.explode("bands").alias("bucket"))
-    least = d.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    d = written(d.join(least, "bucket").select("bucket", "fp", "n", "first"), "buckets")
-    alike = lambda a, b: (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
-    tried = written(d.filter(F.col("fp") != F.col("first.fp")).filter(alike("n", "first.n")).select(F.col("first.fp").alias("fp"), F.col("fp").alias("to")).distinct(), "pairs")
-    edges = written(verified(tried, sketched), "edges")
-    sets = linked_sets(edges)
-    roots = sets.unionByName(sets.select(F.col("root").alias("fp"), "root")).distinct()
-    d = d.join(roots, "fp", "left").select("bucket", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    mixed = d.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-    d = written(d.join(mixed, "bucket"), "mixed")
-    other = d.select("bucket", F.col("fp").alias("to"), F.col("n").alias("m"), F.col("root").alias("other"))
-    more = d.join(other, "bucket").filter((F.col("fp") < F.col("to")) & (F.col("root") != F.col("other")) & alike("n", "m")).select("fp", "to").distinct()
-    more = written(more.join(tried, ["fp", "to"], "left_anti"), "pairs")
-    return linked_sets(edges.unionByName(verified(more, sketched)))
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each linked set the document with the least doc_id stays; documents are linked whose shingles
-    of five words have a Jaccard similarity of 0.8 or more. Of rows that share that doc_id one stays, the first by
-    text; rows without a doc_id are in no set's count and stay. Texts without words are copies of each other."""
-    sketched = written(sketches(docs), "sketches")
-    reps = written(sketched.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    sets = similar_sets(sketched)
-    members = sets.select("root", "fp").unionByName(sets.select("root", F.col("root").alias("fp"))).distinct()
-    least = members.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
-    changed = members.join(least, "root").select("fp", "component_id")
-    names = written(reps.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
-    named = sketched.select("doc_id", "fp").join(names, "fp").select("doc_id", "component_id")
-    go = named.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-    if named.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0:
-        return kept
-    n = fresh(kept, "n")[0]
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn(n, F.row_number().over(first)).filter(F.col("doc_id").isNull() | (F.col(n) == 1)).select(*docs.columns)
-
-
 QUERIES = {"op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, written
+from .common import mapped, read_table, written
 
 #: Production parameters.
 K = 5
@@ -66,7 +66,7 @@ def blocks(vectors: DataFrame) -> DataFrame:
         if n:
             yield pack(number, keys, parts)
 
-    return vectors.mapInArrow(batches, "block long, n long, keys binary, values binary")
+    return mapped(vectors, batches, "block long, n long, keys binary, values binary")
 
 
 class Lists:
@@ -144,7 +144,7 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
                     own = at[a : a + QUERIES_A_BLOCK]
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([own.astype("<i8").tobytes()], pa.binary()), pa.array([ids[own].tobytes()], pa.binary()), pa.array([m[own].tobytes()], pa.binary())], names=["q_block", "q_rows", "q_keys", "q_values"])
 
-    queries = b.mapInArrow(pick, "q_block long, q_rows binary, q_keys binary, q_values binary")
+    queries = mapped(b, pick, "q_block long, q_rows binary, q_keys binary, q_values binary")
     units = _meet(queries, b)
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
                 join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(times), row["q_block"])), pa.array(np.repeat(rows, times)), pa.array(np.repeat(q_keys, times)), pa.array(join([lists.keys[r] for _, r, _ in found])), pa.array(join([s for _, _, s in found]))], names=["q_block", "q_row", "query_id", "vec_id", "score"])
 
-    found = units.mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
+    found = mapped(units, search, "q_block long, q_row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Boosted
-from .common import fresh, read_table, text_or_empty, written
+from .common import fresh, mapped, read_table, text_or_empty, written
 
 #: Rows with this remainder of crc32(doc_id as text) mod 4 are held out; those with CALIBRATE fit the calibration only.
 HELD_OUT, CALIBRATE = 2, 3
@@ -146,7 +146,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
             both = [g for g in toxic.keys() | clean.keys()]
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[g] for g in both], pa.int64()), pa.array([clean[g] for g in both], pa.int64())], names=["entry", "toxic", "clean"])
 
-    sums = sample.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    sums = mapped(sample, count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     nt, nc = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not nt or not nc:
         return {}
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features.matrix(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("calibrate"), b.column("place"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "calibrate", "place", "x"])
 
-    got = sorted(texts.mapInArrow(rows, "toxic int, calibrate boolean, place long, x array<double>").collect(), key=lambda r: (r["place"], r["toxic"]))
+    got = sorted(mapped(texts, rows, "toxic int, calibrate boolean, place long, x array<double>").collect(), key=lambda r: (r["place"], r["toxic"]))
     x, y, late = np.array([r["x"] for r in got], float).reshape(-1, len(NAMES)), np.array([r["toxic"] for r in got], float), np.array([r["calibrate"] for r in got], bool)
     trees = Boosted().fit(x[~late], y[~late])
     if late.any() and trees.nodes:
@@ -200,7 +200,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
             s = model.trees.score(features.matrix([t or "" for t in b.column(text).to_pylist()])) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
 
-    return df.mapInArrow(batches, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    return mapped(df, batches, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridlark.llm import mixing, packing, secrets, simhash, toxicity
+from gridlark.llm import mixing, neardup, packing, secrets, toxicity
 
+from .test_neardup import brute_groups
 from .test_packing import check
-from .test_simhash import brute_components, brute_fingerprint
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,9 +24,8 @@ def test_run_equals_brute_force(spark, tmp_path):
     kept = [r for r in rows if score[r["doc_id"]] < toxicity.THRESHOLD]
     clean = [r for r in rows if labels.get(r["doc_id"]) == 0]
     assert sum(r in kept for r in clean) >= 0.97 * len(clean)
-    fp = {r["doc_id"]: brute_fingerprint(r["text"] or "") for r in kept}
-    component = brute_components(list(fp.items()))
-    kept = [r for r in kept if component[fp[r["doc_id"]]] == r["doc_id"]]
+    kept.sort(key=lambda r: r["doc_id"])
+    kept = [kept[g] for g in sorted(set(brute_groups([r["text"] or "" for r in kept])))]
     for r in kept:
         for _, s, e in reversed(secrets.find_spans(r["text"] or "")):
             r["text"] = r["text"][:s] + "[SECRET]" + r["text"][e:]
@@ -59,7 +58,17 @@ def test_near_copies_go_once(spark):
     text = " ".join(f"word{i}" for i in range(400))
     rows = [(1, text), (2, text), (3, text.upper()), (4, "other words are here")]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r["doc_id"] for r in simhash.one_of_each(spark, docs, SMALL).collect()) == [1, 4]
+    assert sorted(r["doc_id"] for r in neardup.one_of_each(spark, docs, SMALL).collect()) == [1, 4]
+
+
+def test_mixing_decides_each_row_by_itself(spark):
+    """Rows without a doc_id, or that share one, each have their own share of the mix; no row's words get lost."""
+    five = "one two three four five"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in [(None, ""), (None, five), (None, "six " * 40), (3, five), (3, "seven eight"), (3, "")]], "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mixed(spark, docs, SMALL).collect()
+    assert sum(not r["text"] for r in out) == 2
+    assert sum(len(r["text"].split()) for r in out) == 52 * 3 // 2
+    assert {r["text"].split()[0] for r in out if r["text"]} == {"one", "six", "seven"}
 
 
 def test_stages_take_nulls_and_clashing_columns(spark):

@@ -133,53 +133,18 @@ def test_odd_rows(spark):
     assert S.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_stage_keeps_one_of_each(spark):
-    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
-    out = S.one_of_each(spark, df, SMALL)
-    assert out.columns == df.columns
-    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([5, None, 3, 8, None, 12], key=str)
-
-
-def jaccard(a: str, b: str) -> float:
-    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def test_stage_links_edited_copies(spark):
-    """Edited copies of 0.8 and more go, those below stay: against brute force over all pairs, with chains and a dense group."""
-    rng = random.Random(5)
-    word = lambda: f"w{rng.randrange(5000)}"
-    texts = []
-    for _ in range(60):
-        words = [word() for _ in range(rng.randrange(60, 300))]
-        texts.append(" ".join(words))
-        for _ in range(rng.randrange(4)):
-            words = list(words)
-            for _ in range(rng.randrange(1, 7)):
-                words[rng.randrange(len(words))] = word()
-            texts.append(" ".join(words))
-    dense = [word() for _ in range(200)]
-    for _ in range(60):
-        copy = list(dense)
-        copy[rng.randrange(200)] = word()
-        texts.append(" ".join(copy))
-    rng.shuffle(texts)
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if jaccard(texts[i], texts[j]) >= 0.8:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    want = [i for i in range(len(texts)) if find(i) == i]
-    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert len(want) < len(texts) - 60
-    assert sorted(r["doc_id"] for r in S.one_of_each(spark, df, SMALL).collect()) == want
+def test_large_shards_are_split_until_small(spark, monkeypatch):
+    """Fingerprints that agree on most bits: no shard stays over the limit, and no pair within the radius is parted."""
+    monkeypatch.setattr(S, "LARGE_SHARD", 16)
+    rng = random.Random(8)
+    fps = sorted({rng.getrandbits(9) << 3 | 0x5A5A000000000000 >> 1 for _ in range(200)})
+    rows = S.shards(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["shard"], set()).add(r["fp"])
+    assert max(map(len, by.values())) <= 16
+    together = {(a, b) for own in by.values() for a in own for b in own if a < b}
+    assert {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2} <= together
 
 
 def test_sets_that_are_not_settled_are_an_error(spark):
