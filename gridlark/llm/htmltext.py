@@ -55,7 +55,6 @@ _AT, _n = {}, 0
 for _k, _w in _WIDTHS.items():
     _AT[_k], _n = _n, _n + _w
 WIDTH = _n
-SLOTS = 24
 _TAG = {t: i for i, t in enumerate(TAGS)}
 
 
@@ -94,7 +93,7 @@ def features(page: Page) -> list[list[int]]:
             above = _cues(page.cue[p]) + (_cues(page.cue[g]) if g >= 0 and page.tag[i] == "#text" else ())
             row += [_AT["cue"] + 1 + len(CUES) + c for c in dict.fromkeys(above)]
         before += len(page.text[i])
-        out.append(row[:SLOTS])
+        out.append(row)
     return out
 
 
@@ -117,8 +116,8 @@ class Trees:
         self.levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.kind = np.fromiter((t != "#text" for p in pages for t in p.tag), np.int64, len(parent))
         many = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.active = np.full((len(rows), SLOTS), WIDTH)
-        self.active[np.arange(SLOTS) < many[:, None]] = np.fromiter((x for r in rows for x in r), np.int64, int(many.sum()))
+        self.active = np.fromiter((x for r in rows for x in r), np.int64, int(many.sum()))  # all nodes' features in turn
+        self.owner, self.first = np.repeat(np.arange(len(rows)), many), np.cumsum(many) - many
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -134,7 +133,7 @@ class Model:
         self.weights, self.root, self.pair = weights, root, pair
 
     def evidence(self, t: Trees) -> np.ndarray:
-        return self.weights[t.active].sum(1)
+        return np.add.reduceat(self.weights[t.active], t.first, axis=0)
 
     def messages(self, t: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each node's belief from below, its message to the parent, and its belief from above."""
@@ -178,12 +177,10 @@ def train(pages: list[str], rounds: int = 130, rate: float = 0.25, ridge: float
     t = Trees(read_pages)
     y = np.concatenate([states(p) for p in read_pages])
     n, one = len(y), np.eye(3)[y]
-    flat = t.active.ravel()
-    real = flat < WIDTH
-    at, node = flat[real], np.repeat(np.arange(n), SLOTS)[real]
+    at, node = t.active, t.owner
     child = np.flatnonzero(t.parent >= 0)
     p, kind, roots = t.parent[child], t.kind[child], t.parent < 0
-    m = Model(np.zeros((WIDTH + 1, 3)), np.zeros(3), np.zeros((2, 3, 3)))
+    m = Model(np.zeros((WIDTH, 3)), np.zeros(3), np.zeros((2, 3, 3)))
     seen = np.zeros((2, 3, 3))
     np.add.at(seen, (kind, y[p], y[child]), 1)
     values = [m.weights, m.root, m.pair]
@@ -195,13 +192,12 @@ def train(pages: list[str], rounds: int = 130, rate: float = 0.25, ridge: float
         joint = m.pair[kind] + (down[p] + up[p] - message[child])[:, :, None] + up[child][:, None, :]
         joint = np.exp(joint - _log_sum(joint.reshape(-1, 9), 1)[:, None, None])
         expected = np.stack([joint[kind == k].sum(0) for k in (0, 1)])
-        steps = [np.stack([np.bincount(at, g[node, c], WIDTH + 1) for c in range(3)], 1), g[roots].sum(0), seen - expected]
+        steps = [np.stack([np.bincount(at, g[node, c], WIDTH) for c in range(3)], 1), g[roots].sum(0), seen - expected]
         for v, s, a, b in zip(values, steps, first, second, strict=True):
             s = ridge * v - s / n
             a += 0.1 * (s - a)
             b += 0.02 * (s * s - b)
             v -= rate * (a / (1 - 0.9**r)) / (np.sqrt(b / (1 - 0.98**r)) + 1e-8)
-        m.weights[WIDTH] = 0
     return m
 
 
@@ -345,7 +341,8 @@ def extract(htmls: list[str | None], trained: Model) -> list[str]:
 
 def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Adds the main text of every page (empty for null html, and where nothing is content) as `out`, which replaces a
-    column of that name. Pages are handled in place, whole, whatever their length; no rows move."""
+    column of that name. Pages are handled in place, whole, whatever their length; no rows move. Rows that repeat get
+    the same text each; an empty table stays empty; other columns pass through."""
     df = df if out == html else df.drop(out)
     trained = model()
 
@@ -358,6 +355,7 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFr
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of the table, with its length in code points."""
     return extract_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -85,6 +85,8 @@ def test_any_markup_is_read(page):
 def test_long_pages_stay_linear():
     long = "<p>" + "word " * 400_000 + "</p>"
     assert len(read(long).text) == 3 and len(read("<a '" * 20_000).tag) < 5
+    assert len(read("<a b='" * 200_000).tag) < 5 and len(read("<p a=\"'>" * 100_000 + "x").tag) > 1
+    assert len(read("<!--" * 100_000).tag) == 1 and len(read("<title>" * 100_000 + "x").text) == 2 and len(read("<x a='\">" * 50_000).tag) > 1
     assert len(read("<div>" * 3000 + "x").tag) == 3002
     one("<div>" * 3000 + "x")
 
@@ -96,3 +98,86 @@ def test_odd_rows(spark):
     got = {str(r["page_id"]): r["text"] for r in out.collect()}
     assert got["1"] == got["2"] == "" and got["None"].startswith("A title")
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+BLOCKS = [f"<p>Paragraph {n} of the article, with enough words in it to be read as prose, and a full stop.</p>" for n in ("one", "two", "three")]
+LINES = [re.sub("<.*?>", "", b) for b in BLOCKS]
+
+
+@pytest.mark.parametrize("name", sorted("select video audio svg math noscript object canvas iframe template title textarea".split()))
+@pytest.mark.parametrize("attribute", ["", ' class="x"'])
+def test_an_unclosed_element_loses_no_text(name, attribute):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>The title of it</h1>{BLOCKS[0]}<{name}{attribute}>{BLOCKS[1]}{BLOCKS[2]}</article><footer>&copy; 2020 site</footer></body></html>"
+    assert one(page).split("\n") == ["The title of it", *LINES]
+
+
+@pytest.mark.parametrize("name", sorted("video audio svg noscript object canvas iframe template".split()))
+def test_a_closed_element_is_skipped(name):
+    page = f"<article><h1>The title of it</h1>{BLOCKS[0]}<{name}><p>Your browser shows nothing here, sorry.</p></{name}>{BLOCKS[1]}</article>"
+    assert one(page).split("\n") == ["The title of it", *LINES[:2]]
+
+
+def test_options_are_no_text():
+    for end in ("</select>", ""):
+        page = f"<article><h1>The title of it</h1>{BLOCKS[0]}<select name=a><option>Red<option value=b>Blue</option><optgroup label=x><option>Green{end}{BLOCKS[1]}</article>"
+        assert one(page).split("\n") == ["The title of it", *LINES[:2]]
+
+
+def test_an_unclosed_element_before_a_closed_one():
+    page = f"<article><h1>The title of it</h1><video src=a>{BLOCKS[0]}<video src=b>none</video>{BLOCKS[1]}</article>{'<div>' * 3}"
+    assert one(page).split("\n") == ["The title of it", *LINES[:2]]
+
+
+@pytest.mark.parametrize("tag", ['<p title="a > b">', "<p title='it \"is\" > so'>", "<p a=b' c>", '<p title = "x">', "<p 'odd>", '<p =">">', "<p\ntitle='a\nb'>"])
+def test_quotes_in_tags(tag):
+    page = f"<article><h1>The title of it</h1>{tag}{LINES[0]}</p>{BLOCKS[1]}</article>"
+    assert one(page).split("\n") == ["The title of it", *LINES[:2]]
+
+
+def test_many_odd_quotes_are_read_like_few():
+    """A quote that never closes ends its tag at the bracket, however many tags with odd quotes came before."""
+    for n in (1, 99, 101, 400):
+        page = f"<article><h1>The title of it</h1>{BLOCKS[0]}" + "<b 'x>" * n + f"{BLOCKS[1]}<p class=\"z>{LINES[2]}</article>"
+        assert one(page).split("\n")[-1] == LINES[2] and LINES[1] in one(page)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<a ", "b", "=", " ", "'", '"', ">", "x=\"y\"", "z='w>'", "/", "t"]), max_size=24).map("".join))
+def test_tag_ends_equal_a_state_machine(text):
+    """Against a reading character by character."""
+    from gridlark.llm.dom import TagEnds
+
+    text = "<a" + text
+    state, end, i = "in", -1, 2
+    while i < len(text):
+        c = text[i]
+        if state in ('"', "'"):
+            state = "in" if c == state else state
+        elif c == ">":
+            end = i
+            break
+        elif c == "=":
+            j = i + 1
+            while j < len(text) and text[j] == " ":
+                j += 1
+            if j < len(text) and text[j] in "\"'":
+                state, i = text[j], j
+        i += 1
+    assert TagEnds(text)(2) == end
+
+
+#: Layouts of other kinds of sites, each with the blocks that are its article.
+SITES = [
+    ("""<body><div id="page"><div id="masthead"><h1><a href=/>The Daily</a></h1></div><div id="main-nav"><a href=1>News</a> <a href=2>Sport</a></div>
+<div class="post"><h2 class="entry-title">Rain is expected</h2><div class="byline">By A. Writer</div><div class="entry-content"><p>It will rain in the north today, and most of tomorrow too.</p><p>The south stays dry, with some wind in the evening.</p></div></div>
+<div class="related-posts"><h3>Read next</h3><ul><li><a href=a>Snow</a><li><a href=b>Sun</a></ul></div><div class="comment-list"><div class="comment"><p>I do not believe a word of this.</p></div></div><div id="footer">Copyright 2021 The Daily</div></div>""",
+     ["Rain is expected", "It will rain in the north today, and most of tomorrow too.", "The south stays dry, with some wind in the evening."]),
+    ("""<body><header><nav><ul><li><a href=/>Home</a><li><a href=/docs>Docs</a></ul></nav></header><main><h1>How to install it</h1><p>First fetch the archive, then unpack it.</p><pre>tar xf it.tar</pre><ol><li>Open the folder that was made.<li>Run the program in it.</ol><blockquote>It takes a minute or so.</blockquote></main>
+<aside class="widget"><h4>Tags</h4><a href=t>setup</a></aside><form class="newsletter"><label>Mail</label><input><button>Subscribe</button></form><footer><p>&copy; 2022 It</p><a href=p>Privacy</a></footer>""",
+     ["How to install it", "First fetch the archive, then unpack it.", "tar xf it.tar", "Open the folder that was made.", "Run the program in it.", "It takes a minute or so."]),
+]
+
+
+@pytest.mark.parametrize("page, blocks", SITES)
+def test_other_sites(page, blocks):
+    assert [x for x in one(page).split("\n") if not x.startswith("By ")] == blocks
