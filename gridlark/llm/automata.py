@@ -3,46 +3,40 @@
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import Counter, deque
 
 #: Symbols kept as they are at the start of a token, where credential formats carry fixed letters.
 LITERAL = 4
-#: Probability given to a step the automaton has never seen.
-UNSEEN = 1e-4
+#: Share of a step's probability that comes from its symbol's frequency in all tokens, whatever the state; and the
+#: frequency given to symbols never seen.
+BACK_OFF, UNSEEN = 0.05, 1e-4
 
 
-def symbols(token: str) -> list[str]:
+#: Classes of the characters behind: digits, letters up to f and from g, small and capital; others are themselves.
+_CLASSES = bytes(128 + (0 if chr(c).isdigit() else 1 if chr(c) in "abcdef" else 2 if chr(c).islower() else 3 if chr(c) in "ABCDEF" else 4 if chr(c).isupper() else c) if c < 128 else 255 for c in range(256))
+#: The step for a symbol that a state has never seen.
+OTHER = -1
+
+
+def symbols(token: str) -> bytes:
     """The token's symbols: its first LITERAL characters themselves, then character classes."""
-    out = list(token[:LITERAL])
-    for c in token[LITERAL:]:
-        if "0" <= c <= "9":
-            out.append("9")
-        elif "a" <= c <= "f":
-            out.append("a")
-        elif "g" <= c <= "z":
-            out.append("z")
-        elif "A" <= c <= "F":
-            out.append("A")
-        elif "G" <= c <= "Z":
-            out.append("Z")
-        else:
-            out.append(c)
-    return out
+    raw = token.encode("ascii", "replace")
+    return raw[:LITERAL] + raw[LITERAL:].translate(_CLASSES)
 
 
 class Automaton:
     """Transitions and stop probabilities; a token's likelihood is the product along its only path."""
 
-    def __init__(self, steps: list[dict[str, tuple[int, float]]], stop: list[float]):
-        self.steps, self.stop = steps, stop
+    def __init__(self, steps: list[dict[int, tuple[int, float]]], stop: list[float], base: dict[int, float]):
+        self.steps, self.stop, self.base = steps, stop, base
 
     def log_likelihood(self, token: str) -> float:
-        state, total, unseen = 0, 0.0, math.log(UNSEEN)
+        state, total, steps = 0, 0.0, self.steps
         for s in symbols(token):
-            step = self.steps[state].get(s)
+            step = steps[state].get(s)
             if step is None:
-                step = self.steps[state].get("*")
-                total += unseen
+                step = steps[state].get(OTHER)
+                total += self.base.get(s, self.base[OTHER])
                 if step is None:
                     continue
             state = step[0]
@@ -54,8 +48,8 @@ def learn(tokens: list[str], alpha: float = 0.05, least: int = 4) -> Automaton:
     """ALERGIA over `tokens`: red states are final, each blue one is merged into the first red state that the
     Hoeffding bound at `alpha` cannot tell from it, or else turns red. States seen under `least` times always merge
     (there is no evidence that they differ)."""
-    kids: list[dict[str, int]] = [{}]
-    through: list[dict[str, int]] = [{}]
+    kids: list[dict[int, int]] = [{}]
+    through: list[dict[int, int]] = [{}]
     ends, seen = [0], [0]
     for token in tokens:
         at = 0
@@ -123,13 +117,15 @@ def learn(tokens: list[str], alpha: float = 0.05, least: int = 4) -> Automaton:
             fold(into, state)
             blue.extend((r, x) for r in red for x in sorted(kids[r]) if kids[r][x] not in red)
     number = {r: i for i, r in enumerate(red)}
+    often = Counter(s for token in tokens for s in symbols(token))
+    base = {s: BACK_OFF * max(n / often.total(), UNSEEN) for s, n in often.items()} | {OTHER: BACK_OFF * UNSEEN}
     steps, stop = [], []
     for r in red:
         total = seen[r] + 1.0
-        row = {s: (number[to], math.log(max(through[r].get(s, 0), 1) / total)) for s, to in kids[r].items() if to in number}
+        row = {s: (number[to], math.log((1 - BACK_OFF) * max(through[r].get(s, 0), 1) / total + base[s])) for s, to in kids[r].items() if to in number}
         if row:
             most = max(row, key=lambda s: (row[s][1], s))
-            row["*"] = (row[most][0], 0.0)
+            row[OTHER] = (row[most][0], 0.0)
         steps.append(row)
         stop.append(math.log((ends[r] + 0.01) / total))
-    return Automaton(steps, stop)
+    return Automaton(steps, stop, {s: math.log(x) for s, x in base.items()})
