@@ -71,13 +71,14 @@ class Boosted:
         return f
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Isotonic regression of y on the raw score by pooling adjacent violators; a pseudo-count keeps it off 0 and 1."""
-        r = self.raw(x)
-        order = np.argsort(r, kind="stable")
+        """Isotonic regression of y on the raw score by pooling adjacent violators, rows of one score taken together; a
+        pseudo-count keeps it off 0 and 1."""
+        values, which = np.unique(self.raw(x), return_inverse=True)
+        total, many = np.bincount(which, y, len(values)), np.bincount(which, minlength=len(values))
         pools: list[list[float]] = []  # sum, weight, first score, last score
-        for s, t in zip(r[order].tolist(), y[order].tolist(), strict=True):
-            pools.append([float(t), 1.0, s, s])
-            while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]):
+        for s, t, n in zip(values.tolist(), total.tolist(), many.tolist(), strict=True):
+            pools.append([t, float(n), s, s])
+            while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
                 t2, w2, _, e2 = pools.pop()
                 pools[-1][0] += t2
                 pools[-1][1] += w2

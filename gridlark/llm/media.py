@@ -146,7 +146,7 @@ def low_frequency_hash(samples: bytes, width: int, channels: int) -> str:
 
 def add_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """Adds the PNG of each row's text (UTF-8, padded; null counts as empty) as a binary column, which replaces one of
-    that name. Rows are not moved; an empty table stays empty."""
+    that name. Rows are not moved; repeated ones get equal images; an empty table stays empty."""
     df = df.drop(out)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +170,7 @@ def read_media(df: DataFrame, media: str = "media", out: tuple[str, str] = ("pay
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a stored image, read back: sizes, digests and the low-frequency hash."""
     docs = read_table(spark, sf_dir, "documents")
     d = add_media(docs.select("doc_id", text_or_empty(docs).alias("text"))).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "media")
     d = read_media(d)

@@ -75,6 +75,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -257,6 +257,7 @@ def vocabulary() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in the sequences."""
     return pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 

@@ -59,6 +59,7 @@ def shard(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, sl
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot and shard."""
     return shard(read_table(spark, sf_dir, "documents").select("doc_id"))
 
 

@@ -252,6 +252,7 @@ def units(queries: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every fiftieth vector."""
     return top_k(read_table(spark, sf_dir, "embeddings"))
 
 

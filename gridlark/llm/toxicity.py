@@ -20,7 +20,7 @@ from .common import fresh, mapped, read_table, text_or_empty, written
 HELD_OUT, CALIBRATE = 2, 3
 #: The classifier is fitted on about this many labelled rows, picked by a hash of doc_id (all, if there are fewer).
 SAMPLE = 24_000
-#: At most this many learned lexicon entries, the strongest first.
+#: Lexicon entries that fit() learns by default, the strongest first: like SAMPLE a bound of the model, a parameter of it.
 ENTRIES = 4_000
 #: A lexicon entry's odds against clean rows and its toxic rows, at least. Its likelihood-ratio statistic (G squared)
 #: must reach 2 ln(m), where m entries have that many rows: about one of them would by chance.
@@ -134,9 +134,9 @@ def remainder(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Entries over-represented in toxic rows of the sample (text, toxic), with their log odds. Rows are counted once
-    an entry, on the executors; what comes to the driver is bounded by ENTRIES."""
+def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
+    """The strongest `entries` over-represented in toxic rows of the sample (text, toxic), with their log odds. Rows are
+    counted once an entry, on the executors; only these come to the driver."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -157,13 +157,14 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     sums = sums.filter(a + b >= ROWS).cache()
     least = 2 * np.log(max(2, sums.count()))
     found = sums.filter(a >= ROWS).select("entry", strength.alias("strength"), odds.alias("odds")).filter((F.col("strength") >= float(least)) & (F.col("odds") >= ODDS))
-    out = {r[0]: float(np.log(r[2])) for r in found.orderBy(F.desc("strength"), "entry").limit(ENTRIES).collect()}
+    out = {r[0]: float(np.log(r[2])) for r in found.orderBy(F.desc("strength"), "entry").limit(entries).collect()}
     sums.unpersist()
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows that are not held out: the lexicon and trees on two thirds, the calibration on the rest.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
+    """Fits on labelled rows that are not held out, about `sample` of them: the lexicon (at most `entries`) and the trees
+    on two thirds, the calibration on the rest.
 
     Rows with a null label or doc_id, or without a document, are not used; a doc_id with several labels counts as
     toxic if one of them is. Without rows of both classes the score is the share of toxic rows (0.1 without any)."""
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", text_or_empty(docs).alias("text")).join(F.broadcast(own), "doc_id").select("text", F.col("label").alias("toxic"), (remainder(F.col("doc_id")) == CALIBRATE).alias("calibrate"), F.xxhash64("doc_id", "text").alias("place"))
     texts = written(texts, "labelled")
     train = texts.filter("NOT calibrate")
-    lexicon = learn_lexicon(train)
+    lexicon = learn_lexicon(train, entries)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon)
@@ -191,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds `out` (0 to 1, higher: toxic likelier) to every row; null text counts as empty and has a score, too. A
-    column already named so is replaced; other columns pass through, rows are not moved."""
+    column already named so is replaced; other columns pass through, rows are not moved. Repeated rows score alike, and
+    an empty table stays empty."""
     df = df.drop(out)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +206,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model fitted on the labelled rows that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     s = score(docs.select("doc_id", "text"), model)
@@ -211,7 +214,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored at THRESHOLD or more go."""
+    """Pipeline stage: documents scored at THRESHOLD or more go. All others stay, row by row: null and empty texts have a
+    score like any other, repeated rows go or stay together, an empty table stays empty."""
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     name = fresh(docs, "toxicity")[0]
     return score(docs, model, out=name).filter(F.col(name) < THRESHOLD).select(*docs.columns)

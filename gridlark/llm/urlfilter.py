@@ -33,7 +33,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
 
     An entry of kind `host` matches that host alone, one of kind `domain` the domain and all below it. It is active
     from its date on (inclusive) to the pattern's next entry (exclusive). A capture without a host or fetch time
-    matches nothing. Repeated captures are judged alike; columns named n_active or blocked are replaced.
+    matches nothing. Repeated captures are judged alike; columns named n_active or blocked are replaced. Empty captures
+    give an empty result; with an empty list nothing is blocked.
 
     Lists are matched with distinct hosts, not with captures: each host's intervals become one array (as long as the
     entries for its few suffixes), captures get it by one equi-join on the host, in which Spark broadcasts the hosts
@@ -76,6 +77,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 
 
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture against the list entries active at its fetch time."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(dated_captures(pages), dated_entries(pages)).select("page_id", "url", F.unix_seconds("fetched_at").alias("fetched_s"), "n_active", "blocked")
 
