@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from .operators import points as pt
 from .operators import poses as po
 from .operators import stages as sg
 from .operators import stats as st
-from .session import checkpoint_folder
+from .plans.experiments import SCENES
+from .session import checkpoint_folder, tables_folder
 from .views import POINT_ORDER, mixture, path_points, points, poses, probes, qpoints, sql, table, trials
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,14 +145,8 @@ def composite_filter(spark, sf_dir):
     return rounded(p.select("ok", "ln", "pk", "sk", "x", "y", "z"))
 
 
-@query(f"{P} SELECT round(x, 6) AS x, y, round(z, 6) AS z FROM points WHERE frame < 1300")
-def xyz_only(spark, sf_dir):
-    return rounded(pt.project_xyz(points(spark, sf_dir).filter("frame < 1300"), xyz_only=True))
-
-
 @query(f"{P} SELECT round(x, 6) AS x, y, round(z, 6) AS z FROM points")
-def xyz_only_all(spark, sf_dir):
-    """The projection of all points; xyz_only is that of the first days."""
+def xyz_only(spark, sf_dir):
     return rounded(pt.project_xyz(points(spark, sf_dir), xyz_only=True))
 
 
@@ -161,17 +157,8 @@ def narrow_then_voxel(spark, sf_dir):
     return pt.first_per_voxel(p, 0.5, POINT_ORDER)
 
 
-@query(f"{P} SELECT frame, ok, ln, 0::FLOAT AS intensity, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, pk, sk, x)::INTEGER AS nr FROM points WHERE frame % 10 = 0")
-def frame_and_intensity(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    p = points(spark, sf_dir).filter("frame % 10 = 0")
-    return p.select("frame", "ok", "ln", F.lit(0.0).cast("float").alias("intensity"), F.row_number().over(Window.partitionBy("frame").orderBy(*POINT_ORDER)).alias("nr"))
-
-
 @query(f"{P} SELECT frame, ok, ln, 0::FLOAT AS intensity, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, pk, sk, x)::INTEGER AS nr FROM points")
-def frame_and_intensity_all(spark, sf_dir):
-    """Frame, intensity and number of all points; frame_and_intensity is that of every tenth frame."""
+def frame_and_intensity(spark, sf_dir):
     from pyspark.sql.window import Window
 
     return points(spark, sf_dir).select("frame", "ok", "ln", F.lit(0.0).cast("float").alias("intensity"), F.row_number().over(Window.partitionBy("frame").orderBy(*POINT_ORDER)).alias("nr"))
@@ -440,6 +427,25 @@ def grid_mae(spark, sf_dir):
     return rounded(pa.mean_absolute_error(mx.grid_lookup(t, _grid(spark, sf_dir), _box(spark, sf_dir), CELLS), F.col("truth"), F.col("p")))
 
 
+#: The published resolution.
+FULL = 128
+_FULL = f"cells AS (SELECT (i // {FULL * FULL})::INTEGER AS ix, (i // {FULL} % {FULL})::INTEGER AS iy, (i % {FULL})::INTEGER AS iz FROM range({FULL ** 3}) r(i)), lat AS (SELECT ix, iy, iz, (ix * {FULL} + iy) * {FULL} + iz AS cell, lo_x + (hi_x - lo_x) * ix / {FULL - 1} AS x, lo_y + (hi_y - lo_y) * iy / {FULL - 1} AS y, lo_z + (hi_z - lo_z) * iz / {FULL - 1} AS z FROM cells, box)"
+
+
+@query(f"{G}, {_density_sql('qpoints', 'vec_id')}, {_REF}, {_BOUNDS}, {_FULL}, {_density_sql('lat', 'cell', 'cd')} SELECT iz, count(*) AS cells, round(avg(({_OCC.format(d='density')} >= {THRESHOLD}::DOUBLE)::INTEGER::DOUBLE), 5) AS share, round(sum({_OCC.format(d='density')}), 2) AS total FROM lat JOIN cd USING (cell), ref GROUP BY iz")
+def full_grid_shares(spark, sf_dir):
+    """Slices of the grid of 128 cells an axis."""
+    grid = mx.occupancy_grid(_box(spark, sf_dir), mixture(spark, sf_dir), _reference(spark, sf_dir), FULL, LAM, POWER)
+    s = grid.groupBy("iz").agg(F.count(F.lit(1)).alias("cells"), F.avg(mx.is_occupied(F.col("p"), THRESHOLD).cast("double")).alias("share"), F.sum("p").alias("total"))
+    return s.select("iz", "cells", F.round("share", 5).alias("share"), F.round("total", 2).alias("total"))
+
+
+@query(f"{G}, {_density_sql('qpoints', 'vec_id')}, {_REF} SELECT vec_id FROM dens, ref WHERE {_OCC.format(d='density')} >= {THRESHOLD}::DOUBLE")
+def occupied_points(spark, sf_dir):
+    o = mx.with_occupancy(qpoints(spark, sf_dir), mixture(spark, sf_dir), _reference(spark, sf_dir), LAM, POWER)
+    return o.filter(mx.is_occupied(F.col("p"), THRESHOLD)).select("vec_id")
+
+
 # --- Poses ------------------------------------------------------------------------------------------------------------
 
 S = sql("poses", "probes")
@@ -534,6 +540,17 @@ def heatmap_grouping_sets(spark, sf_dir):
     return rounded(st.heatmap(trials(spark, sf_dir)), 5)
 
 
+@query(f"{T}, {_MED}, hm AS (SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, planner, quantile_cont(med, 0.5) AS med FROM m GROUP BY GROUPING SETS ((split, planner), (planner))) SELECT split, round(avg(med), 4) AS mean FROM hm GROUP BY split")
+def heatmap_row_means(spark, sf_dir):
+    return rounded(st.heatmap_means(trials(spark, sf_dir)), 4)
+
+
+@query(f"{T} SELECT scene, planner, len(v) AS n, v[1] AS first, v[len(v)] AS last, round(med, 5) AS med FROM (SELECT scene, planner, list_sort(list(metric) FILTER (WHERE metric IS NOT NULL)) AS v, quantile_cont(metric, 0.5) AS med FROM trials GROUP BY scene, planner)")
+def box_plot_values(spark, sf_dir):
+    v = st.value_lists(trials(spark, sf_dir), "scene", "planner")
+    return v.select("scene", "planner", F.size("metrics").cast("long").alias("n"), F.col("metrics")[0].alias("first"), F.element_at("metrics", -1).alias("last"), F.round("med", 5).alias("med"))
+
+
 @query(f"{T}, m AS (SELECT scene, planner, quantile_cont(metric, 0.5) AS med FROM trials GROUP BY ALL), a AS (SELECT scene, max(med) FILTER (WHERE planner = '5-LOW') AS w, max(med) FILTER (WHERE planner = '1-URGENT') AS b FROM m GROUP BY scene) SELECT scene, round(CASE WHEN b IS NOT NULL THEN w / greatest(b, 1e-6) END, 6) AS advantage FROM a ORDER BY advantage DESC NULLS LAST, scene LIMIT 2")
 def smo_advantage_top2(spark, sf_dir):
     return rounded(st.top_advantage(trials(spark, sf_dir), "1-URGENT", "5-LOW"))
@@ -600,14 +617,39 @@ def in_bounds_fallback(spark, sf_dir):
     return pt.in_bounds_or_all(q, pt.bounds(q.filter("vec_id < 4"))).select("vec_id")
 
 
+@query(f"{G}, {_PART.format(cond='% 2 = 0')} SELECT count(*) FILTER (WHERE {_INB}) AS n_inside, count(*) AS n FROM qpoints, pb")
+def in_bounds_count(spark, sf_dir):
+    q = qpoints(spark, sf_dir)
+    return pt.inside_count(q, pt.bounds(q.filter("vec_id % 2 = 0")))
+
+
+@query(f"{P}, h AS (SELECT ok, ln, pk, sk, x, md5(concat_ws(':', '7', ok, ln, pk, sk, x::VARCHAR)) AS h FROM (SELECT ok, ln, pk, sk, round(y * 100)::BIGINT AS x FROM points)) SELECT ok, ln, pk, sk, x FROM h ORDER BY h, ok, ln, pk, sk, x LIMIT 1000")
+def cloud_preview(spark, sf_dir):
+    p = points(spark, sf_dir).select("ok", "ln", "pk", "sk", F.round(F.col("y") * 100).cast("long").alias("x"))
+    return pt.preview(p, 1000, 7, "ok", "ln", "pk", "sk", "x")
+
+
 # --- Planning ---------------------------------------------------------------------------------------------------------
 
-_PAIRS = f"""pairs AS (SELECT a.ix AS sx_i, a.iy AS sy_i, b.ix AS gx_i, b.iy AS gy_i, a.x AS sx, a.y AS sy, b.x AS gx, b.y AS gy, md5(concat_ws(':', '42', a.ix, a.iy, b.ix, b.iy)) AS h FROM fm a JOIN fm b ON a.is_free AND b.is_free
-  AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) BETWEEN 0.25::DOUBLE AND 0.8::DOUBLE ORDER BY h LIMIT 24)"""
+#: Ends are free in the grid, and by the model with twice the grid's sharpness.
+_DRAW = "('0x' || substr(md5('42:' || h || ':{end}'), 1, 8))::BIGINT % m"
+_PAIRS = f"""ends AS (SELECT ix, iy, x, y, row_number() OVER (ORDER BY ix, iy) - 1 AS k, count(*) OVER () AS m FROM fm WHERE is_free AND 1 - power(1 - p, 2) < {THRESHOLD}::DOUBLE),
+draws AS (SELECT h, {_DRAW.format(end='a')} AS i, {_DRAW.format(end='b')} AS j FROM range({pl.ATTEMPTS * 24}) t(h), (SELECT max(m) AS m FROM ends)),
+pairs AS (SELECT a.ix AS sx_i, a.iy AS sy_i, b.ix AS gx_i, b.iy AS gy_i, a.x AS sx, a.y AS sy, b.x AS gx, b.y AS gy, h FROM draws JOIN ends a ON a.k = i JOIN ends b ON b.k = j
+  WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) BETWEEN 0.25::DOUBLE AND 0.8::DOUBLE ORDER BY h LIMIT 24)"""
+
+
+def _ends(spark, sf_dir, fm, reference):
+    own = mx.with_occupancy(fm, mixture(spark, sf_dir), reference, 2 * LAM, POWER, "p_model").drop("density")
+    return pl.free_in_both(own, "p_model", THRESHOLD)
+
+
+def _plane(grid):
+    return grid.join(F.broadcast(mx.nav_slice(grid, THRESHOLD).select("iz")), "iz").withColumn("is_free", F.col("p") < THRESHOLD)
 
 
 def _pairs(spark, sf_dir):
-    return pl.sample_pairs(mx.free_map(_grid(spark, sf_dir), THRESHOLD), 24, 0.25, 0.8, SEED)
+    return pl.sample_pairs(_ends(spark, sf_dir, _plane(_grid(spark, sf_dir)), _reference(spark, sf_dir)), 24, 0.25, 0.8, SEED)
 
 
 @query(f"{GRID}, {_SLICE}, {_PAIRS} SELECT sx_i, sy_i, gx_i, gy_i, round(sx, 6) AS sx, round(sy, 6) AS sy, round(gx, 6) AS gx, round(gy, 6) AS gy FROM pairs")
@@ -631,9 +673,11 @@ def _setting(spark, sf_dir):
     nav = mx.nav_slice(cells, THRESHOLD).select("iz").first()[0]
     fm = cells.filter(F.col("iz") == nav).select("ix", "iy", "x", "y", "z", "p", (F.col("p") < THRESHOLD).alias("is_free"))
     z = fm.select("z").first()[0]
-    pairs = pl.topped_up(pl.sample_pairs(fm.drop("z"), 24, 0.25, 0.8, SEED), 30).withColumn("scene", F.lit("nav"))
-    rrt = pl.RrtConfig(step_size=0.06, max_iter=600, goal_radius=0.06, neighbor_radius=0.15, goal_bias=0.05, threshold=THRESHOLD, edge_step=STEP)
-    return pairs, {"nav": pl.Scene(pl.grid_from(fm, THRESHOLD), pl.mixture_from(m, ref, LAM, POWER, z), STEP)}, rrt
+    pairs = pl.topped_up(pl.sample_pairs(_ends(spark, sf_dir, fm, reference), 24, 0.25, 0.8, SEED), 30).withColumn("scene", F.lit("nav"))
+    return pairs, {"nav": pl.Scene(pl.grid_from(fm, THRESHOLD), pl.mixture_from(m, ref, LAM, POWER, z), STEP)}, _RRT
+
+
+_RRT = pl.RrtConfig(step_size=0.06, max_iter=600, goal_radius=0.06, neighbor_radius=0.15, goal_bias=0.05, threshold=THRESHOLD, edge_step=STEP)
 
 
 _WALK = """RECURSIVE walk(trial, ix, iy, g) USING KEY (trial, ix, iy) AS (
@@ -675,13 +719,83 @@ def planner_comparison(spark, sf_dir):
     return rounded(compare_planners(pairs, scenes, rrt, SEED).drop("time_med"))
 
 
+def _cloud(spark, sf_dir):
+    return qpoints(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z")
+
+
 @query()
 def incremental_mapping(spark, sf_dir):
     """Stages of a growing cloud, a refit at each, and the error of its map on held-out positions."""
     from .plans.experiments import incremental
 
-    q = qpoints(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z")
-    return incremental(q, REVEALED, FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT, LAM, POWER, SEED, 0.05)
+    return rounded(incremental(_cloud(spark, sf_dir), REVEALED, FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT, LAM, POWER, SEED, 0.05))
+
+
+#: With one component a fit is known in closed form, so that SQL can follow all of the stages.
+_ONE = "exp(-0.5 * (power({x} - mx, 2) / vx + power({y} - my, 2) / vy + power({z} - mz, 2) / vz)) / sqrt(power(2 * pi(), 3) * vx * vy * vz)"
+_ONE_OCC = "1 - exp(-10 * greatest({d} / ({ref} + 1e-12), 0))"
+_STAGES = f"""fr(stage, fraction) AS (VALUES {', '.join(f'({i}, {f}::DOUBLE)' for i, f in enumerate(REVEALED))}),
+r AS (SELECT x, y, z, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS k, count(*) OVER () AS n FROM qpoints),
+st AS (SELECT stage, fraction, x, y, z FROM fr JOIN r ON r.k <= greatest(1, trunc(fraction * n)::BIGINT)),
+md AS (SELECT stage, fraction, count(*) AS n_obs, {', '.join(f'avg({c}) AS m{c}, var_pop({c}) + 1e-4::DOUBLE AS v{c}, min({c}) - (max({c}) - min({c})) * 0.1::DOUBLE AS lo_{c}, max({c}) + (max({c}) - min({c})) * 0.1::DOUBLE AS hi_{c}' for c in 'xyz')} FROM st GROUP BY stage, fraction),
+rf AS (SELECT stage, quantile_cont({_ONE.format(x='st.x', y='st.y', z='st.z')}, 0.95) AS density_ref FROM st JOIN md USING (stage) GROUP BY stage),
+box AS (SELECT * FROM md WHERE stage = {len(REVEALED) - 1}),
+q AS (SELECT i AS qid, lo_x + (hi_x - lo_x) * {_HASH.format(c='x')} AS x, lo_y + (hi_y - lo_y) * {_HASH.format(c='y')} AS y, (lo_z + hi_z) / 2 + ({_HASH.format(c='z')} * 2 - 1) * 0.05::DOUBLE AS z FROM box, range({HELD_OUT}) t(i)),
+tr AS (SELECT q.*, {_ONE_OCC.format(d=_ONE.format(x='q.x', y='q.y', z='q.z'), ref='rf.density_ref')} AS truth FROM q, box JOIN rf USING (stage)),
+he AS (SELECT *, count(*) FILTER (WHERE inside) OVER (PARTITION BY stage) AS many FROM (SELECT md.*, rf.density_ref, tr.x, tr.y, tr.z, truth, tr.x BETWEEN lo_x AND hi_x AND tr.y BETWEEN lo_y AND hi_y AND tr.z BETWEEN lo_z AND hi_z AS inside FROM tr, md JOIN rf USING (stage))),
+ce AS (SELECT *, {', '.join(f'lo_{c} + (hi_{c} - lo_{c}) * least(greatest(round_even(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / {FIT_CELLS - 1}), 0), 0), {FIT_CELLS - 1}) / {FIT_CELLS - 1} AS c{c}' for c in 'xyz')} FROM he WHERE inside OR many <= 100)"""
+
+
+@query(f"""{sql('qpoints')}, {_STAGES} SELECT stage::INTEGER AS stage, fraction, n_obs, round(avg(abs({_ONE_OCC.format(d=_ONE.format(x='x', y='y', z='z'), ref='density_ref')} - truth)), 5) AS gmm_mae,
+round(avg(abs({_ONE_OCC.format(d=_ONE.format(x='cx', y='cy', z='cz'), ref='density_ref')} - truth)), 5) AS grid_mae FROM ce GROUP BY stage, fraction, n_obs""")
+def incremental_one_component(spark, sf_dir):
+    """incremental_mapping with one component."""
+    from .plans.experiments import incremental
+
+    out = incremental(_cloud(spark, sf_dir), REVEALED, 1, FIT_ROUNDS, FIT_CELLS, HELD_OUT, LAM, POWER, SEED, 0.05)
+    return rounded(out.select("stage", "fraction", "n_obs", "gmm_mae", "grid_mae"), 5, "fraction")
+
+
+_SCENES = f"""md AS (SELECT label AS scene, {', '.join(f'avg({c}) AS m{c}, var_pop({c}) + 1e-4::DOUBLE AS v{c}, min({c}) - (max({c}) - min({c})) * 0.1::DOUBLE AS lo_{c}, max({c}) + (max({c}) - min({c})) * 0.1::DOUBLE AS hi_{c}' for c in 'xyz')} FROM qpoints GROUP BY label),
+rf AS (SELECT scene, quantile_cont({_ONE.format(x='x', y='y', z='z')}, 0.95) AS density_ref FROM qpoints JOIN md ON label = scene GROUP BY scene),
+gr AS (SELECT scene, (i // {CELLS * CELLS})::INTEGER AS ix, (i // {CELLS} % {CELLS})::INTEGER AS iy, (i % {CELLS})::INTEGER AS iz, md.*, density_ref FROM md JOIN rf USING (scene), range({CELLS ** 3}) r(i)),
+gp AS (SELECT scene, ix, iy, iz, {_ONE_OCC.format(d=_ONE.format(x=f'(lo_x + (hi_x - lo_x) * ix / {CELLS - 1})', y=f'(lo_y + (hi_y - lo_y) * iy / {CELLS - 1})', z=f'(lo_z + (hi_z - lo_z) * iz / {CELLS - 1})'), ref='density_ref')} AS p FROM gr),
+sh AS (SELECT scene, iz, avg((p >= {THRESHOLD}::DOUBLE)::INTEGER::DOUBLE) AS share FROM gp GROUP BY scene, iz),
+nv AS (SELECT scene, iz, row_number() OVER (PARTITION BY scene ORDER BY share DESC, iz) AS k FROM sh)"""
+
+
+@query(f"{sql('qpoints')}, {_SCENES} SELECT scene::VARCHAR AS scene, true AS ok, round(avg((p < {THRESHOLD}::DOUBLE)::INTEGER::DOUBLE), 6) AS free_share, any_value(nv.iz)::INTEGER AS nav_iz, round(any_value(density_ref), 5) AS density_ref, round(sum(p), 3) AS total FROM gp JOIN nv USING (scene) JOIN rf USING (scene) WHERE nv.k = 1 GROUP BY scene")
+def trained_scenes(spark, sf_dir):
+    """Scenes by label, fitted with one component in one job, stored, and read back."""
+    from .plans.maps import train
+
+    target = f"{tables_folder(spark)}/maps-{uuid.uuid4().hex}"
+    own = qpoints(spark, sf_dir).select(F.col("label").cast("string").alias("scene"), F.col("vec_id").alias("pid"), "x", "y", "z")
+    report = train(own, target, mx.GmmParams(1), CELLS, LAM, POWER, 200_000, THRESHOLD)
+    stored = lambda part, *c: spark.read.schema("scene string, " + ", ".join(c)).parquet(f"{target}/{part}")
+    total = stored("grid", "p double").groupBy("scene").agg(F.sum("p").alias("total"))
+    ref = stored("reference", "density_ref double")
+    return report.join(total, "scene").join(ref, "scene").select("scene", "ok", F.round("free_share", 6).alias("free_share"), "nav_iz", F.round("density_ref", 5).alias("density_ref"), F.round("total", 3).alias("total"))
+
+
+def _scene_maps(spark, sf_dir):
+    """Four scenes of the query points, fitted with four components each, and their grids."""
+    own = qpoints(spark, sf_dir).select(F.concat(F.lit("scene-"), (F.col("vec_id") % 4).cast("string")).alias("scene"), F.col("vec_id").alias("pid"), "x", "y", "z")
+    models = mx.fit_each(own, mx.GmmParams(4, max_iter=FIT_ROUNDS, seed=SEED)).cache()
+    references = models.select("scene", "density_ref").distinct()
+    grids = mx.occupancy_grids(pt.bounds(own, 0.1, "scene"), models, references, CELLS, 2 * LAM, POWER).cache()
+    return models, references, grids
+
+
+@query()
+def multi_scene_evaluation(spark, sf_dir):
+    """Four planners on four scenes as one plan: free shares, rates and medians by scene; tested against scene by scene."""
+    from .plans.experiments import evaluate_scenes, scene_table
+
+    models, references, grids = _scene_maps(spark, sf_dir)
+    table_ = scene_table(spark, [(f"s{i}", f"scene-{i}", "test" if i == 3 else "train") for i in range(4)])
+    e = evaluate_scenes(table_, models, references, grids, _RRT, SEED, 20, 0.25, 0.8, LAM, POWER, STEP)
+    return rounded(e.scenes.drop("time_med"))
 
 
 @query()
@@ -697,13 +811,76 @@ def single_scene_evaluation(spark, sf_dir):
 
 @query()
 def incremental_planning(spark, sf_dir):
-    """Stages with trials: each stage's maps plan the same pairs, judged by the map of all points."""
+    """Stages with trials: trees on each stage's maps plan the same pairs, judged by the map of all points."""
     from .plans.experiments import incremental
 
     pairs, scenes, rrt = _setting(spark, sf_dir)
-    q = qpoints(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z")
     own = pairs.select("trial", "sx", "sy", "gx", "gy")
-    return rounded(incremental(q, REVEALED, FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT, LAM, POWER, SEED, 0.05, own, rrt, scenes["nav"].mixture.z))
+    return rounded(incremental(_cloud(spark, sf_dir), REVEALED, FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT, LAM, POWER, SEED, 0.05, own, rrt, scenes["nav"].mixture.z))
+
+
+# --- Sources and sinks ------------------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder below the shared one, for files that a query writes and reads again."""
+    return f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file://")
+
+
+@query(f"{P} SELECT ok::INTEGER AS ok, ln::SMALLINT AS ln, x::FLOAT AS x, y::FLOAT AS y, z AS z, row_number() OVER (ORDER BY ok, ln, pk, sk, x) - 1 AS pid FROM points")
+def ply_round_trip(spark, sf_dir):
+    """All points in order to one PLY file and back, with their record numbers."""
+    from .sources.scans import register
+
+    register(spark)
+    path = _folder(spark, "ply")
+    p = points(spark, sf_dir).orderBy(*POINT_ORDER).select(F.col("ok").cast("int").alias("ok"), F.col("ln").cast("short").alias("ln"), F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), "z")
+    p.coalesce(1).write.format("ply").mode("append").save(path)
+    return spark.read.format("ply").load(path)
+
+
+@query(f"{P}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, pk, sk, x) - 1 AS pid FROM points) SELECT frame::BIGINT AS frame, pid, x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z, semantic_id::FLOAT AS intensity FROM r WHERE frame BETWEEN 400 AND 420")
+def scan_round_trip(spark, sf_dir):
+    """Raw scans written as a file a frame and read back over a range of frames, whose files alone are opened."""
+    from pyspark.sql.window import Window
+
+    from .sources.scans import register, write_scans
+
+    register(spark)
+    path = _folder(spark, "scans")
+    pid = (F.row_number().over(Window.partitionBy("frame").orderBy(*POINT_ORDER)) - 1).alias("pid")
+    write_scans(points(spark, sf_dir).select(F.col("frame").cast("long").alias("frame"), pid, *[F.col(c).cast("float").alias(c) for c in "xyz"], F.col("semantic_id").cast("float").alias("intensity")), path)
+    return spark.read.format("velodyne").load(path).filter("frame BETWEEN 400 AND 420")
+
+
+@query("SELECT c_custkey AS frame, c_nationkey::DOUBLE AS tx, (c_custkey % 7)::DOUBLE AS ty, 1.0::DOUBLE AS last FROM customer")
+def pose_file(spark, sf_dir):
+    """Poses as lines of text, half of them with three rows of the matrix and half with four, read back."""
+    from .sources.scans import read_poses
+
+    path = f"{tables_folder(spark)}/poses-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "customer")
+    short = F.concat_ws(" ", F.col("c_custkey").cast("string"), F.lit("1 0 0"), F.col("c_nationkey").cast("string"), F.lit("0 1 0"), (F.col("c_custkey") % 7).cast("string"), F.lit("0 0 1 0"))
+    c.select(F.when(F.col("c_custkey") % 2 == 0, short).otherwise(F.concat_ws(" ", short, F.lit("0 0 0 1"))).alias("value")).write.text(path)
+    return read_poses(spark, path).select("frame", F.col("m")[3].alias("tx"), F.col("m")[7].alias("ty"), F.col("m")[15].alias("last"))
+
+
+@query("SELECT n_name || '.zip' AS archive, 'https://example.org/' || n_name || '.zip' AS source FROM nation")
+def archive_list(spark, sf_dir):
+    """A JSON object of archives, written and read back."""
+    from .sources.scans import archive_manifest
+
+    path = f"{tables_folder(spark)}/archives-{uuid.uuid4().hex}"
+    n = table(spark, sf_dir, "nation").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("n_name", F.lit(".zip")).alias("k"), F.concat(F.lit("https://example.org/"), "n_name", F.lit(".zip")).alias("v")))).alias("archives"))
+    n.select(F.to_json(F.struct("archives")).alias("value")).coalesce(1).write.text(path)
+    return archive_manifest(spark, path).select("archive", "source")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in SCENES) + ") t(label, folder, split)")
+def scene_list(spark, sf_dir):
+    from .plans.experiments import scene_table
+
+    return scene_table(spark, SCENES)
 
 
 # --- Catalog and scalars ----------------------------------------------------------------------------------------------
@@ -744,17 +921,10 @@ def octile_heuristic(spark, sf_dir):
     return rounded(p.select("sx_i", "sy_i", "gx_i", "gy_i", g.octile((F.col("sx_i") - F.col("gx_i")).cast("double"), (F.col("sy_i") - F.col("gy_i")).cast("double")).alias("octile")))
 
 
-@query("""WITH RECURSIVE t AS (SELECT event_id AS node, event_id // 3 AS parent FROM events), w AS (SELECT node AS start, node, 0 AS depth FROM t WHERE node % 500 = 499 UNION ALL SELECT w.start, t.parent, w.depth + 1 FROM w JOIN t ON t.node = w.node WHERE w.node > 0) SELECT start, max(depth)::INTEGER AS depth, count(*) AS nodes FROM w GROUP BY start""")
-def parent_chain(spark, sf_dir):
-    """Walks from nodes to the root of a tree of parents, as a recursive query."""
-    table(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.expr("event_id div 3").alias("parent")).createOrReplaceTempView("gridlark_tree")
-    return spark.sql("""WITH RECURSIVE w(start, node, depth) AS (SELECT node, node, 0 FROM gridlark_tree WHERE node % 500 = 499
-      UNION ALL SELECT w.start, t.parent, w.depth + 1 FROM w JOIN gridlark_tree t ON t.node = w.node WHERE w.node > 0) SELECT start, max(depth) AS depth, count(*) AS nodes FROM w GROUP BY start""")
-
-
 @query("""WITH RECURSIVE t AS (SELECT event_id AS node, event_id // 3 AS parent FROM events), w AS (SELECT node AS start, node, 0 AS depth FROM t UNION ALL SELECT w.start, t.parent, w.depth + 1 FROM w JOIN t ON t.node = w.node WHERE w.node > 0) SELECT start, max(depth)::INTEGER AS depth, count(*) AS nodes FROM w GROUP BY start""")
-def parent_chain_all(spark, sf_dir):
-    """Walks from every node (parent_chain: one in 500) by checkpointed joins: recursive queries have a limit of rows."""
+def parent_chain(spark, sf_dir):
+    """Walks from every node to the root of a tree of parents, by checkpointed joins: recursive queries have a limit of
+    rows."""
     checkpoint_folder(spark)
     t = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.expr("event_id div 3").alias("parent"))
     w = t.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).checkpoint()

@@ -1,4 +1,4 @@
-"""Command line: download, list-windows, prepare-fused, build-from-raw, batch-export, build-map."""
+"""Command line: download, list-windows, prepare-fused, build-from-raw, batch-export, build-map, train, evaluate."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from collections.abc import Sequence
 
 from .operators.mixture import GmmParams
 from .plans.accumulate import accumulate
-from .plans.maps import export_occupied, prepare_fused, train
+from .plans.maps import export_occupied, prepare_fused, train, trained
 from .session import session
 from .sources import scans
+from .sources.ply import files_of
 
 
 def numbers(text: str | None, kind=float) -> list | None:
@@ -45,7 +46,9 @@ def parser() -> argparse.ArgumentParser:
     command("prepare-fused", "--all-windows", "--dynamic", "--visible-only", "--xyz-only", "--xyzrgb-only", "--force", root=must, sequence=must, window=text, out=must, confidence_min=real, keep_semantic_ids=text, drop_semantic_ids=text, **out)
     command("build-from-raw", "--add-frame-field", root=must, sequence=must, start=whole, end=whole, stride={"type": int, "default": 1}, out=must, point_dim={"type": int, "default": 4}, min_range={"type": float, "default": 0.0}, max_range={"type": float, "default": float("inf")}, keep_every_nth_point={"type": int, "default": 1}, **out)
     command("batch-export", "--visible-only", "--dynamic", "--xyz-only", "--xyzrgb-only", manifest=must, root=must, out_dir=must, confidence_min=real, **out)
-    command("build-map", ply=must, out=must, components={"type": int, "default": 64}, max_iter={"type": int, "default": 100}, cells={"type": int, "default": 128}, lam={"type": float, "default": 10.0}, power={"type": float, "default": 1.0}, threshold={"type": float, "default": 0.3}, fit_voxel={"type": float, "default": 0.05}, fit_points={"type": int, "default": 1_000_000}, seed={"type": int, "default": 0})
+    command("build-map", ply=must, out=must, components={"type": int, "default": 64}, max_iter={"type": int, "default": 100}, cells={"type": int, "default": 128}, lam={"type": float, "default": 10.0}, power={"type": float, "default": 1.0}, threshold={"type": float, "default": 0.3}, fit_voxel={"type": float, "default": 0.05}, fit_points={"type": int, "default": 1_000_000}, seed={"type": int, "default": 0}, sharpen=real)
+    command("train", ply=must, out=must, components={"type": int, "default": 64}, max_iter={"type": int, "default": 100}, cells={"type": int, "default": 128}, lam={"type": float, "default": 20.0}, power={"type": float, "default": 1.0}, threshold={"type": float, "default": 0.35}, fit_points={"type": int, "default": 200_000}, seed={"type": int, "default": 0})
+    command("evaluate", maps=must, out=must, scenes=text, trials={"type": int, "default": 20}, iterations={"type": int, "default": 3000}, min_dist={"type": float, "default": 30.0}, max_dist={"type": float, "default": 120.0}, step={"type": float, "default": 3.0}, goal_radius={"type": float, "default": 4.0}, neighbor_radius={"type": float, "default": 10.0}, edge_step={"type": float, "default": 0.3}, lam={"type": float, "default": 10.0}, power={"type": float, "default": 1.0}, threshold={"type": float, "default": 0.35}, seed={"type": int, "default": 42})
     return top
 
 
@@ -103,12 +106,35 @@ def main(args: Sequence[str] | None = None) -> int:
         calibration = scans.read_calibration(spark, scans.first_existing([os.path.join(a.root, "calibration")], ["calib_cam_to_velo.txt"]) or "")
         world = accumulate(raw, poses, a.start, a.end, a.stride, a.min_range, a.max_range, a.keep_every_nth_point, crop(a.crop), a.voxel_size, calibration, a.add_frame_field)
         world.select("x", "y", "z", "intensity", *(["frame"] if a.add_frame_field else [])).write.format("ply").mode("overwrite").save(a.out)
+    elif a.command == "train":
+        from functools import reduce
+
+        from pyspark.sql import DataFrame
+        from pyspark.sql import functions as F
+
+        scans.register(spark)
+        clouds = [spark.read.format("ply").load(f).select("pid", "x", "y", "z").withColumn("scene", F.lit(os.path.splitext(os.path.basename(f))[0])) for f in files_of(a.ply)]
+        report = train(reduce(DataFrame.unionByName, clouds), a.out, GmmParams(a.components, max_iter=a.max_iter, seed=a.seed), a.cells, a.lam, a.power, a.fit_points, a.threshold, narrow=True)
+        report.show(1000, truncate=False)
+        trained(report).show()
+    elif a.command == "evaluate":
+        from .operators.planners import RrtConfig
+        from .plans.experiments import SCENES, evaluate_scenes, scene_table
+
+        own = lambda part: spark.read.parquet(f"{a.maps}/{part}")
+        # --scenes label:folder:split,... ; by default the published ones
+        listed = [tuple(x.split(":")) for x in a.scenes.split(",")] if a.scenes else SCENES
+        rrt = RrtConfig(a.step, a.iterations, a.goal_radius, a.neighbor_radius, 0.05, a.threshold, a.edge_step)
+        e = evaluate_scenes(scene_table(spark, listed), own("gmm"), own("reference"), own("grid"), rrt, a.seed, a.trials, a.min_dist, a.max_dist, a.lam, a.power, a.edge_step)
+        e.trials.write.mode("overwrite").parquet(f"{a.out}/trials")
+        for table in (e.scenes.orderBy("label", "planner"), e.splits.orderBy("split", "planner"), e.top):
+            table.show(1000, truncate=False)
     else:
         from pyspark.sql import functions as F
 
         scans.register(spark)
         points = spark.read.format("ply").load(a.ply).withColumn("scene", F.lit(os.path.splitext(os.path.basename(a.ply.rstrip("/")))[0]))
-        train(points, a.out, GmmParams(a.components, max_iter=a.max_iter, seed=a.seed), a.cells, a.lam, a.power, a.fit_points, a.threshold, a.fit_voxel).show(truncate=False)
+        train(points, a.out, GmmParams(a.components, max_iter=a.max_iter, seed=a.seed), a.cells, a.lam, a.power, a.fit_points, a.threshold, a.fit_voxel, sharpen=a.sharpen, whole_bounds=True).show(truncate=False)
         export_occupied(spark.read.parquet(f"{a.out}/grid"), a.threshold, f"{a.out}/occupied")
     return 0
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .names import fresh
+
 #: Leading hex digits of the hash that make a bucket: 65,536 buckets, whose counts are summed in order.
 DIGITS = 4
 
@@ -18,16 +20,33 @@ def hash_order(*parts: Column, seed: int | str) -> Column:
 def ranked(df: DataFrame, order: Column, *ties: str, name: str = "rank") -> DataFrame:
     """Adds the exact 1-based rank by a hex hash. Rows are sorted within buckets of the hash's leading digits; the
     buckets' first ranks come from running sums over their counts, at most 16 ** DIGITS rows."""
-    b = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, DIGITS))
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    first = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *ties))
-    return b.withColumn("_r", within).join(F.broadcast(first), "_b").withColumn(name, F.col("_first") + F.col("_r")).drop("_h", "_b", "_r", "_first")
+    h, bucket, n, first, r = fresh(df, "h", "bucket", "n", "first", "r")
+    b = df.withColumn(h, order).withColumn(bucket, F.substring(h, 1, DIGITS))
+    counts = b.groupBy(bucket).agg(F.count(F.lit(1)).alias(n))
+    starts = counts.select(bucket, F.coalesce(F.sum(n).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(first))
+    within = F.row_number().over(Window.partitionBy(bucket).orderBy(h, *ties))
+    return b.withColumn(r, within).join(F.broadcast(starts), bucket).withColumn(name, F.col(first) + F.col(r)).select(*df.columns, name)
 
 
 def sample_exact(df: DataFrame, n: int, order: Column, *ties: str) -> DataFrame:
     """Exactly min(n, rows) rows, the first by a hex hash."""
-    return ranked(df, order, *ties, name="_rank").filter(F.col("_rank") <= n).drop("_rank")
+    (rank,) = fresh(df, "rank")
+    return ranked(df, order, *ties, name=rank).filter(F.col(rank) <= n).drop(rank)
+
+
+def sample_each(df: DataFrame, by: str, n: int, order: Column, *ties: str) -> DataFrame:
+    """Exactly min(n, rows) rows of each group, the first by a hex hash. There are few groups (their counts go to the
+    driver); of large ones the hash's leading digits first leave little more than n rows, which are then ranked."""
+    h, rank = fresh(df, "h", "rank")
+    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    d = df.withColumn(h, order)
+    keep = F.lit(True)
+    for group, many in counts.items():
+        share = (1.02 * n + 6 * n**0.5 + 100) / many
+        if share < 1:
+            keep = F.when(F.col(by).eqNullSafe(F.lit(group)), F.substring(h, 1, 8) <= f"{int(share * 16**8):08x}").otherwise(keep)
+    r = F.row_number().over(Window.partitionBy(by).orderBy(h, *ties))
+    return d.filter(keep).withColumn(rank, r).filter(F.col(rank) <= n).select(*df.columns)
 
 
 #: first_rows() narrows tables of more than this many times the rows asked for.

@@ -7,10 +7,12 @@ points there are) and every point folds over it: no shuffle of points, no row pe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import at_step, d, grid_index, occupancy
 from ..functions.ranking import first_rows, hash_order, sample_exact
-from ..session import mapped
+from ..session import mapped, ship
 
 FIELDS = ("w", "mx", "my", "mz", "vx", "vy", "vz")
 _LOG_2PI = 3 * math.log(2 * math.pi)
@@ -52,25 +54,39 @@ def with_density(points: DataFrame, gmm: DataFrame, *by: str, name: str = "densi
     return j.withColumn(name, density_of(F.col("comps"), d("x"), d("y"), d("z"))).drop("comps")
 
 
-#: Rows from which on occupancy_grid() scores Arrow batches instead of folding in the JVM.
-BULK = 100_000
-
-
-def with_density_bulk(points: DataFrame, gmm: DataFrame, name: str = "density") -> DataFrame:
-    """with_density() for one model and very many rows: its components (as many rows as the model has) go to the
-    tasks, which score Arrow batches by matrix products."""
-    c = gmm.orderBy("comp").filter("w > 0").select(*FIELDS).toPandas().to_numpy(float)
-    w, m, v = c[:, 0], c[:, 1:4], c[:, 4:7]
-    centre = m.mean(0) if len(m) else np.zeros(3)
+def with_density_bulk(points: DataFrame, gmm: DataFrame, name: str = "density", by: str | None = None, seconds: str | None = None) -> DataFrame:
+    """with_density() for very many rows of one model, or of one for each value of `by`: the components (as many rows as
+    the models have) go to the tasks, which score Arrow batches by matrix products. `seconds` adds each row's share of
+    the time that its batch took."""
+    c = gmm.orderBy(*([by] if by else []), "comp").filter("w > 0").select(*([by] if by else []), *FIELDS).toPandas()
+    models = {}
+    for key, own in c.groupby(by) if by else [(None, c)]:
+        a = own[list(FIELDS)].to_numpy(float)
+        centre = a[:, 1:4].mean(0) if len(a) else np.zeros(3)
+        models[key] = (a[:, 0], a[:, 1:4] - centre, a[:, 4:7], centre)
+
+    def density(x: np.ndarray, key) -> np.ndarray:
+        if key not in models or not len(models[key][0]):
+            return np.zeros(len(x))
+        w, m, v, centre = models[key]
+        lp = _log_parts(x - centre, w, m, v)
+        top = lp.max(1, keepdims=True)
+        return np.exp(top[:, 0]) * np.exp(lp - top).sum(1)
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in "xyz"], 1) - centre
-            lp = _log_parts(x, w, m - centre, v)
-            top = lp.max(1, keepdims=True) if len(w) else np.zeros((len(x), 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.exp(top[:, 0]) * np.exp(lp - top).sum(1))], [*b.schema.names, name])
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in "xyz"], 1)
+            out, took = np.zeros(len(x)), np.zeros(len(x))
+            groups = np.array(b.column(by).to_pylist(), object) if by else np.full(len(x), None, object)
+            for key in dict.fromkeys(groups.tolist()):
+                own = np.flatnonzero(groups == key) if by else np.arange(len(x))
+                began = time.perf_counter()
+                out[own] = density(x[own], key)
+                took[own] = (time.perf_counter() - began) / max(1, len(own))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), *([pa.array(took)] if seconds else [])], [*b.schema.names, name, *([seconds] if seconds else [])])
 
-    return mapped(points, score, T.StructType([*points.schema.fields, T.StructField(name, T.DoubleType())]))
+    more = [T.StructField(c, T.DoubleType()) for c in (name, *([seconds] if seconds else []))]
+    return mapped(points, score, T.StructType([*points.schema.fields, *more]))
 
 
 def reference_density(points: DataFrame, gmm: DataFrame, order: str, rows: int = REFERENCE_ROWS, share: float = REFERENCE_SHARE) -> DataFrame:
@@ -95,30 +111,39 @@ def axes(box: DataFrame, n: int) -> DataFrame:
     return long.select("dim", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("dim", "i", at_step(F.col("lo"), F.col("hi"), F.col("i"), n).alias("v"))
 
 
-def lattice(box: DataFrame, n: int, m: int | None = None) -> DataFrame:
-    """ix, iy, iz, x, y, z: all cells of the box, made on the executors from a range of cell numbers."""
+def lattice(box: DataFrame, n: int, m: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """ix, iy, iz, x, y, z: all cells of the box, made on the executors from a range of cell numbers; of several boxes
+    the columns `keep` tell them apart."""
     spark, nz = box.sparkSession, m or n
     cells = spark.range(0, n * n * nz).select((F.col("id") / (n * nz)).cast("int").alias("ix"), (F.col("id") / nz % n).cast("int").alias("iy"), (F.col("id") % nz).cast("int").alias("iz"))
     at = lambda c, i, k: at_step(F.col(f"lo_{c}"), F.col(f"hi_{c}"), F.col(i), k).alias(c)
-    return cells.join(F.broadcast(box)).select("ix", "iy", "iz", at("x", "ix", n), at("y", "iy", n), at("z", "iz", nz))
+    return cells.join(F.broadcast(box)).select(*keep, "ix", "iy", "iz", at("x", "ix", n), at("y", "iy", n), at("z", "iz", nz))
 
 
 def occupancy_grid(box: DataFrame, gmm: DataFrame, reference: DataFrame, n: int, lam: float, power: float) -> DataFrame:
-    """ix, iy, iz, x, y, z, p over the box; large grids are scored in bulk."""
-    cells = lattice(box, n)
-    if n**3 < BULK:
-        return with_occupancy(cells, gmm, reference, lam, power).drop("density")
-    scored = with_density_bulk(cells, gmm).join(F.broadcast(reference))
+    """ix, iy, iz, x, y, z, p over the box."""
+    scored = with_density_bulk(lattice(box, n), gmm).join(F.broadcast(reference))
     return scored.withColumn("p", occupancy(F.col("density"), F.col("density_ref"), lam, power)).drop("density", "density_ref")
 
 
-def slice_shares(grid: DataFrame, threshold: float) -> DataFrame:
-    return grid.groupBy("iz").agg(F.avg((F.col("p") >= threshold).cast("double")).alias("share"))
+def occupancy_grids(boxes: DataFrame, gmm: DataFrame, references: DataFrame, n: int, lam: float, power: float) -> DataFrame:
+    """scene, ix, iy, iz, x, y, z, p, seconds: the grids of all scenes (boxes, components and reference density by scene)
+    in one job. `seconds` is a cell's share of the time that scoring took."""
+    cells = with_density_bulk(lattice(boxes, n, keep=("scene",)), gmm, by="scene", seconds="seconds").join(F.broadcast(references.select("scene", "density_ref")), "scene")
+    return cells.withColumn("p", occupancy(F.col("density"), F.col("density_ref"), lam, power)).select("scene", "ix", "iy", "iz", "x", "y", "z", "p", "seconds")
+
+
+def is_occupied(p: Column, threshold: float) -> Column:
+    return p >= threshold
+
 
+def slice_shares(grid: DataFrame, threshold: float, *by: str) -> DataFrame:
+    return grid.groupBy(*by, "iz").agg(F.avg((F.col("p") >= threshold).cast("double")).alias("share"))
 
-def nav_slice(grid: DataFrame, threshold: float) -> DataFrame:
-    """iz of the slice with the largest occupied share, the first of equal ones."""
-    return slice_shares(grid, threshold).agg(F.max_by("iz", F.struct("share", -F.col("iz"))).alias("iz"), F.max("share").alias("share"))
+
+def nav_slice(grid: DataFrame, threshold: float, *by: str) -> DataFrame:
+    """iz of the slice with the largest occupied share, the first of equal ones; of each group `by`."""
+    return slice_shares(grid, threshold, *by).groupBy(*by).agg(F.max_by("iz", F.struct("share", -F.col("iz"))).alias("iz"), F.max("share").alias("share"))
 
 
 def free_map(grid: DataFrame, threshold: float) -> DataFrame:
@@ -256,6 +281,67 @@ def fit(points: DataFrame, params: GmmParams, order: str = "pid") -> tuple[DataF
     return spark.createDataFrame(rows, "scene string, comp int, w double, mx double, my double, mz double, vx double, vy double, vz double"), history
 
 
+MODEL = "scene string, comp int, w double, mx double, my double, mz double, vx double, vy double, vz double, density_ref double, n_fit long, log_likelihood double, rounds int, seconds double, error string"
+#: Rows whose responsibilities are held at a time.
+TOGETHER = 50_000
+
+
+def em(x: np.ndarray, params: GmmParams, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Weights, means, variances and the mean log-likelihoods of a fit to the rows of x, in one task."""
+    if not np.isfinite(x).all():
+        raise ValueError("points with coordinates that are not finite")
+    rng, centre = np.random.default_rng(seed), x.mean(0)
+    x = x - centre
+    start = x if len(x) <= INITIAL else x[np.sort(rng.choice(len(x), INITIAL, replace=False))]
+    k = min(params.components, len(start))
+    label = _kmeans(start, k, rng)
+    n = np.maximum(np.bincount(label, minlength=k), 1e-9)
+    m = np.stack([np.bincount(label, start[:, i], k) for i in range(3)], 1) / n[:, None]
+    v = np.stack([np.bincount(label, (start[:, i] - m[label, i]) ** 2, k) for i in range(3)], 1) / n[:, None] + params.reg_covar
+    w, history = n / n.sum(), []
+    for _ in range(params.max_iter):
+        r, rx, rxx, ll = np.zeros(k), np.zeros((k, 3)), np.zeros((k, 3)), 0.0
+        for a in range(0, len(x), TOGETHER):
+            part = x[a : a + TOGETHER]
+            lp = _log_parts(part, w, m, v)
+            top = lp.max(1, keepdims=True)
+            own = top[:, 0] + np.log(np.exp(lp - top).sum(1))
+            p = np.exp(lp - own[:, None])
+            r, rx, rxx, ll = r + p.sum(0), rx + p.T @ part, rxx + p.T @ part**2, ll + own.sum()
+        r = r + 10 * np.finfo(float).eps
+        m = rx / r[:, None]
+        v = np.maximum(rxx / r[:, None] - m**2 + params.reg_covar, params.reg_covar)
+        w = r / r.sum()
+        history.append(ll / len(x))
+        if len(history) > 1 and abs(history[-1] - history[-2]) < params.tol:
+            break
+    return w, m + centre, v, history
+
+
+def fit_each(points: DataFrame, params: GmmParams, order: str = "pid", seeds: dict[str, int] | None = None) -> DataFrame:
+    """MODEL: a mixture for each scene of `points` (scene, order, x, y, z), all scenes in one job, each in a task of its
+    own; for points that a task can hold, such as samples of a stated size (fit() spreads larger scenes over all tasks).
+    With each come its reference density (over the first rows by `order`), the time it took and, if the fit failed, the
+    error in a row without components."""
+    names = [c.split()[0] for c in MODEL.split(", ")]
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        began, scene = time.perf_counter(), t["scene"].iloc[0]
+        try:
+            x = t.sort_values([order, "x", "y", "z"])[["x", "y", "z"]].to_numpy(float)
+            w, m, v, history = em(x, params, (seeds or {}).get(scene, params.seed))
+            lp = _log_parts(x[:REFERENCE_ROWS] - m.mean(0), w, m - m.mean(0), v)
+            top = lp.max(1, keepdims=True)
+            ref = float(np.percentile(np.exp(top[:, 0]) * np.exp(lp - top).sum(1), 100 * REFERENCE_SHARE))
+            rows = [(scene, k, w[k], *m[k], *v[k], ref, len(x), history[-1], len(history), time.perf_counter() - began, None) for k in range(len(w))]
+        except Exception as e:  # noqa: BLE001  one scene's failure is a row of the result
+            rows = [(scene, *[None] * 8, None, len(t), None, None, time.perf_counter() - began, str(e)[:500])]
+        return pd.DataFrame(rows, columns=names)
+
+    ship(points.sparkSession)
+    return points.select("scene", order, *[d(c).alias(c) for c in "xyz"]).groupBy("scene").applyInPandas(one, MODEL)
+
+
 def em_step(points: DataFrame, gmm: DataFrame, reg_covar: float = 1e-4) -> DataFrame:
     """One EM step as DataFrame operations: responsibilities by folding over the components, moments by one aggregate."""
     g = gathered(gmm)

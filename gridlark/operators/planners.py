@@ -6,13 +6,15 @@ from __future__ import annotations
 import heapq
 import math
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ranking import hash_order
 from ..session import checkpoint_folder, ship
@@ -212,16 +214,51 @@ PLAN_SCHEMA = "scene string, trial long, planner string, success boolean, nodes
 
 @dataclass
 class Scene:
-    """What a trial needs: maps (as many numbers as the map has cells and components), bounds, smoothing tests."""
+    """What a trial needs: maps (as many numbers as the map has cells and components), how densely edges are sampled,
+    and where trees may grow (None: the grid's extent)."""
 
     grid: GridMap
     mixture: MixtureMap
     edge_step: float
+    box: tuple[float, float, float, float] | None = None
+
+    @cached_property
+    def mixture_grid(self) -> GridMap:
+        """The mixture's values at the grid's cells, made once in a process."""
+        g = self.grid
+        return GridMap(self.mixture.value(np.stack(np.meshgrid(g.xs, g.ys, indexing="ij"), -1)), g.xs, g.ys, g.threshold)
+
+
+#: Plans one trial: path and info, and the edge test that smooths it (None: that of the planner's own map).
+Planner = Callable[[Scene, tuple, tuple, RrtConfig, np.random.Generator, Edge | None], tuple[list | None, dict]]
+
+
+def _rrt(map_of: Callable[[Scene], GridMap | MixtureMap]) -> Planner:
+    def plan(scene, start, goal, config, rng, collision):
+        box = scene.box or (scene.grid.xs[0], scene.grid.xs[-1], scene.grid.ys[0], scene.grid.ys[-1])
+        return rrt_star(map_of(scene), box, start, goal, config, rng, collision)
+
+    return plan
+
+
+def _a_star(grid_of: Callable[[Scene], GridMap]) -> Planner:
+    return lambda scene, start, goal, config, rng, collision: a_star(grid_of(scene), np.array(start), np.array(goal))
+
+
+PLANNERS: dict[str, Planner] = {
+    "rrt_mixture": _rrt(lambda s: s.mixture),
+    "rrt_grid": _rrt(lambda s: s.grid),
+    "astar_mixture": _a_star(lambda s: s.mixture_grid),
+    "astar_grid": _a_star(lambda s: s.grid),
+}
 
 
 def grid_from(free: DataFrame, threshold: float) -> GridMap:
     """A slice (ix, iy, x, y, p) as a map for the planners: one map, of a size set by its resolution."""
-    t = free.select("ix", "iy", "x", "y", "p").toPandas()
+    return grid_of(free.select("ix", "iy", "x", "y", "p").toPandas(), threshold)
+
+
+def grid_of(t: pd.DataFrame, threshold: float) -> GridMap:
     p = np.full((t.ix.max() + 1, t.iy.max() + 1), np.inf)
     p[t.ix, t.iy] = t.p
     return GridMap(p, t.groupby("ix").x.first().sort_index().to_numpy(), t.groupby("iy").y.first().sort_index().to_numpy(), threshold)
@@ -232,34 +269,28 @@ def mixture_from(gmm: DataFrame, reference: float, lam: float, power: float, z:
     return MixtureMap(t.w.to_numpy(float), t[["mx", "my", "mz"]].to_numpy(float), t[["vx", "vy", "vz"]].to_numpy(float), reference, lam, power, z)
 
 
-def plan_trials(pairs: DataFrame, scenes: dict[str, Scene], rrt: RrtConfig, planners: tuple[str, ...], seed: int, mode: str = "per_trial", smooth_by: str = "own", timed: str = "plan") -> DataFrame:
-    """Plans every pair (scene, trial, sx, sy, gx, gy) with every planner: astar_grid, astar_mixture, rrt_grid,
-    rrt_mixture.
+def plan_trials(
+    pairs: DataFrame, scenes: dict[str, Scene], rrt: RrtConfig, planners: Sequence[str] | dict[str, Planner], seed: int, mode: str = "per_trial", smooth_by: str = "own", timed: str = "plan",
+    collision: Callable[[Scene], Edge] | None = None,
+) -> DataFrame:
+    """Plans every pair (scene, trial, sx, sy, gx, gy) with every planner, by name from PLANNERS or given as functions.
 
-    mode="per_trial": each trial has its own generator (seed + trial), so trials are independent rows and spread over
-    all tasks. mode="sequential": one generator a scene and planner runs through its trials in order, which ties them
-    to one task. smooth_by: "own" smooths with the planner's map, "mixture" always with the mixture. timed: "plan", or
-    "all" for the time with smoothing."""
+    mode="per_trial": each trial has its own generator (the row's `seed`, or else seed + trial), so trials are
+    independent rows and spread over all tasks. mode="sequential": one generator a scene and planner runs through its
+    trials in order, which ties them to one task. smooth_by: "own" smooths with the planner's map, "mixture" always with
+    the mixture. timed: "plan", or "all" for the time with smoothing. collision: makes a scene's edge test, which trees
+    and smoothing then use in place of their maps'."""
     ship(pairs.sparkSession)
     sent = pairs.sparkSession.sparkContext.broadcast(scenes)
-    conf = asdict(rrt)
+    conf, table = asdict(rrt), planners if isinstance(planners, dict) else {p: PLANNERS[p] for p in planners}
     if mode not in ("per_trial", "sequential"):
         raise ValueError("mode is per_trial or sequential")
 
     def one(row, rng: np.random.Generator) -> tuple:
         s, config = sent.value[row.scene], RrtConfig(**conf)
-        own = s.grid if row.planner.endswith("grid") else s.mixture
-        start, goal = (row.sx, row.sy), (row.gx, row.gy)
-        if row.planner.startswith("astar"):
-            g = s.grid
-            if own is s.mixture:
-                xy = np.stack(np.meshgrid(g.xs, g.ys, indexing="ij"), -1)
-                g = GridMap(s.mixture.value(xy), g.xs, g.ys, g.threshold)
-            path, info = a_star(g, np.array(start), np.array(goal))
-        else:
-            box = (s.grid.xs[0], s.grid.xs[-1], s.grid.ys[0], s.grid.ys[-1])
-            path, info = rrt_star(own, box, start, goal, config, rng)
-        free = edge_test(s.mixture if smooth_by == "mixture" else own, s.edge_step, config.threshold)
+        own = collision(s) if collision else None
+        path, info = table[row.planner](s, (row.sx, row.sy), (row.gx, row.gy), config, rng, own)
+        free = own or edge_test(s.mixture if smooth_by == "mixture" or not row.planner.endswith("grid") else s.grid, s.edge_step, config.threshold)
         began = time.perf_counter()
         smoothed = smooth(path, free)
         if timed == "all":
@@ -271,40 +302,52 @@ def plan_trials(pairs: DataFrame, scenes: dict[str, Scene], rrt: RrtConfig, plan
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            yield pd.DataFrame([one(r, np.random.default_rng(seed + int(r.trial))) for r in b.itertuples()], columns=columns)
+            yield pd.DataFrame([one(r, np.random.default_rng(int(r.seed))) for r in b.itertuples()], columns=columns)
 
     def group(b: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
         return pd.DataFrame([one(r, rng) for r in b.sort_values("trial").itertuples()], columns=columns)
 
-    work = pairs.select("scene", F.col("trial").cast("long").alias("trial"), "sx", "sy", "gx", "gy", F.explode(F.array(*map(F.lit, planners))).alias("planner"))
+    own_seed = F.col("seed").cast("long") if "seed" in pairs.columns else F.lit(seed) + F.col("trial").cast("long")
+    work = pairs.select("scene", F.col("trial").cast("long").alias("trial"), "sx", "sy", "gx", "gy", own_seed.alias("seed"), F.explode(F.array(*map(F.lit, table))).alias("planner"))
     if mode == "sequential":
         return work.groupBy("scene", "planner").applyInPandas(group, PLAN_SCHEMA)
     spread = work.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism), "scene", "trial", "planner")
     return spread.mapInPandas(batches, PLAN_SCHEMA)
 
 
-def sample_pairs(free: DataFrame, n: int, least: float, most: float, seed: int | str) -> DataFrame:
-    """n pairs of free cells whose distance is in [least, most], by a seeded hash; fewer, if there are fewer.
+#: Draws for each pair that is wanted.
+ATTEMPTS = 500
+
+
+def free_in_both(free: DataFrame, p: str, threshold: float) -> DataFrame:
+    """The free cells of a map whose occupancy `p` by the model is below the threshold, too."""
+    return free.filter(F.col("is_free") & (F.col(p) < threshold))
+
 
-    Cells meet through bins as wide as the longest distance: only cells of neighbouring bins are compared."""
-    c = free.filter("is_free").select("ix", "iy", "x", "y").withColumns({"bx": F.floor(F.col("x") / most), "by": F.floor(F.col("y") / most)})
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = c.select(F.col("ix").alias("sx_i"), F.col("iy").alias("sy_i"), F.col("x").alias("sx"), F.col("y").alias("sy"), "bx", "by", near.alias("o")).select("sx_i", "sy_i", "sx", "sy", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"))
-    b = c.select(F.col("ix").alias("gx_i"), F.col("iy").alias("gy_i"), F.col("x").alias("gx"), F.col("y").alias("gy"), "bx", "by")
-    j = a.join(b, ["bx", "by"]).filter(F.sqrt((F.col("sx") - F.col("gx")) * (F.col("sx") - F.col("gx")) + (F.col("sy") - F.col("gy")) * (F.col("sy") - F.col("gy"))).between(least, most))
-    order = hash_order(F.col("sx_i"), F.col("sy_i"), F.col("gx_i"), F.col("gy_i"), seed=seed)
-    return j.withColumn("h", order).orderBy("h").limit(n).drop("bx", "by")
+def sample_pairs(cells: DataFrame, n: int, least: float, most: float, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
+    """n pairs of the cells (ix, iy, x, y) whose distance is in [least, most], for each group `by`: of ATTEMPTS * n seeded
+    draws of two cells the first n that fit; fewer, if so many draws hold fewer. `h` is the draw's number.
 
+    What is numbered are the cells of a map, as many as its resolution; no pairs are made but those drawn."""
+    whole = Window.partitionBy(*by)
+    c = cells.select(*by, "ix", "iy", "x", "y", (F.row_number().over(whole.orderBy("ix", "iy")) - 1).alias("k"), F.count(F.lit(1)).over(whole).alias("m"))
+    groups = c.groupBy(*by).agg(F.max("m").alias("m")).filter("m IS NOT NULL")
+    draw = lambda end: (F.conv(F.substring(hash_order(F.col("h"), F.lit(end), seed=seed), 1, 8), 16, 10).cast("long") % F.col("m")).cast("int")
+    draws = groups.select(*by, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ATTEMPTS * n - 1).cast("long"))).alias("h")).select(*by, "h", draw("a").alias("i"), draw("b").alias("j"))
+    start = c.select(*by, F.col("k").alias("i"), F.col("ix").alias("sx_i"), F.col("iy").alias("sy_i"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    goal = c.select(*by, F.col("k").alias("j"), F.col("ix").alias("gx_i"), F.col("iy").alias("gy_i"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    far = F.sqrt((F.col("sx") - F.col("gx")) * (F.col("sx") - F.col("gx")) + (F.col("sy") - F.col("gy")) * (F.col("sy") - F.col("gy")))
+    fit = draws.join(start, [*by, "i"]).join(goal, [*by, "j"]).filter(far.between(least, most)).drop("i", "j")
+    return fit.withColumn("nth", F.row_number().over(whole.orderBy("h"))).filter(F.col("nth") <= n).drop("nth")
 
-def topped_up(pairs: DataFrame, n: int) -> DataFrame:
-    """trial 0 .. n-1: the pairs in their order, repeated from the first if there are too few."""
-    from pyspark.sql.window import Window
 
-    p = pairs.withColumn("k", F.row_number().over(Window.orderBy("h")) - 1)
-    m = p.agg(F.count(F.lit(1)).alias("m"))
-    t = pairs.sparkSession.range(n).withColumnRenamed("id", "trial").join(F.broadcast(m)).filter("m > 0").withColumn("k", (F.col("trial") % F.col("m")).cast("int"))
-    return t.join(p, "k").drop("k", "m", "h")
+def topped_up(pairs: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """trial 0 .. n-1 of each group: its pairs in their order, repeated from the first if there are too few."""
+    whole = Window.partitionBy(*by)
+    p = pairs.withColumns({"k": F.row_number().over(whole.orderBy("h")) - 1, "m": F.count(F.lit(1)).over(whole)})
+    times = F.sequence(F.col("k").cast("long"), F.lit(n - 1).cast("long"), F.col("m").cast("long"))
+    return p.filter(F.col("k") < n).withColumn("trial", F.explode(times)).drop("k", "m", "h")
 
 
 def frontier_costs(free: DataFrame, pairs: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import d, finite, inside, norm, voxel
+from ..functions.names import fresh
+from ..functions.ranking import hash_order, sample_exact
 
 #: Attribute names as files spell them; the first that exists is used.
 VISIBLE = ("is_visible", "isVisible", "visible")
@@ -66,12 +68,13 @@ def clean(df: DataFrame, order: Sequence[str], box=None, visible: bool = False,
     return first_per_voxel(by_semantic(min_confidence(df, confidence), keep, drop), voxel_size, order)
 
 
-def voxel_centroids(df: DataFrame, size: float, *more: str) -> DataFrame:
-    """Mean position (and of `more` columns) of each voxel; voxels start at the cloud's least corner."""
-    low = df.agg(*[F.min(c).alias(f"_l{c}") for c in "xyz"])
-    at = df.join(F.broadcast(low))
+def voxel_centroids(df: DataFrame, size: float, *more: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean position (and of `more` columns) of each voxel; voxels start at the least corner of the cloud, or of each
+    group `by`."""
+    low = df.groupBy(*by).agg(*[F.min(c).alias(f"_l{c}") for c in "xyz"])
+    at = df.join(F.broadcast(low), list(by)) if by else df.join(F.broadcast(low))
     key = [F.floor((d(c) - F.col(f"_l{c}")) / F.lit(float(size))).alias(f"v{c}") for c in "xyz"]
-    return at.groupBy(*key).agg(*[F.avg(d(c)).alias(c) for c in ("x", "y", "z", *more)], F.count(F.lit(1)).alias("n"))
+    return at.groupBy(*by, *key).agg(*[F.avg(d(c)).alias(c) for c in ("x", "y", "z", *more)], F.count(F.lit(1)).alias("n"))
 
 
 def bounds(df: DataFrame, padding: float = 0.0, *by: str) -> DataFrame:
@@ -132,9 +135,25 @@ def narrowed(df: DataFrame) -> DataFrame:
 def in_bounds_or_all(df: DataFrame, box: DataFrame, more_than: int = 100) -> DataFrame:
     """Rows inside the box (one row of bounds()); all rows, if no more than `more_than` are inside."""
     j = df.join(F.broadcast(box))
+    inside, many = fresh(j, "inside", "many")
+    j = j.withColumn(inside, within(*"xyz"))
+    n = j.agg(F.count_if(inside).alias(many))
+    return j.join(F.broadcast(n)).filter(F.col(inside) | (F.col(many) <= more_than)).select(*df.columns)
+
+
+def within(*axes: str) -> Column:
+    """Whether a row lies in the box beside it (lo_x, hi_x, ...)."""
     ok = F.lit(True)
-    for c in "xyz":
+    for c in axes:
         ok = ok & d(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}"))
-    j = j.withColumn("_in", ok)
-    n = j.agg(F.count_if("_in").alias("_n"))
-    return j.join(F.broadcast(n)).filter(F.col("_in") | (F.col("_n") <= more_than)).select(*df.columns)
+    return ok
+
+
+def inside_count(df: DataFrame, box: DataFrame) -> DataFrame:
+    """n_inside, n: how many rows lie in the box, and of how many."""
+    return df.join(F.broadcast(box)).agg(F.count_if(within(*"xyz")).alias("n_inside"), F.count(F.lit(1)).alias("n"))
+
+
+def preview(df: DataFrame, n: int, seed: int | str, *key: str) -> DataFrame:
+    """At most n points for a picture, by a seeded hash of the key columns."""
+    return sample_exact(df, n, hash_order(*[F.col(k) for k in key], seed=seed), *key)

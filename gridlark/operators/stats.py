@@ -39,6 +39,16 @@ def heatmap(trials: DataFrame) -> DataFrame:
     return medians(trials, "split", "scene", "planner").groupingSets([["split", "planner"], ["planner"]], "split", "planner").agg(median(F.col("med")).alias("med"), F.grouping("split").alias("_g")).select(F.when(F.col("_g") == 1, "all").otherwise(F.col("split")).alias("split"), "planner", "med")
 
 
+def heatmap_means(trials: DataFrame) -> DataFrame:
+    """split, mean over planners of the heat map's row."""
+    return heatmap(trials).groupBy("split").agg(F.avg("med").alias("mean"))
+
+
+def value_lists(trials: DataFrame, *by: str) -> DataFrame:
+    """The values of a box plot in order, with their median: a list a group, as long as it has successful trials."""
+    return trials.groupBy(*by).agg(F.array_sort(F.collect_list(over_successes())).alias("metrics"), median(over_successes()).alias("med"))
+
+
 def top_advantage(trials: DataFrame, better: str, worse: str, n: int = 2) -> DataFrame:
     """The n scenes with the largest ratio worse / max(better, 1e-6) of medians; scenes without one last."""
     m = medians(trials, "scene", "planner").groupBy("scene").pivot("planner", [better, worse]).agg(F.first("med"))

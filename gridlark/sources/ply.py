@@ -188,6 +188,7 @@ class PlyWriter(DataSourceArrowWriter):
         name = os.path.join(self.path, f".part-{uuid.uuid4().hex}.body")
         rows = 0
         with open(name, "wb") as f:
+            f.write(header(0, self.fields, self.comments))
             for b in batches:
                 a = np.empty(b.num_rows, dtype)
                 for i, (n, t) in enumerate(self.fields):
@@ -197,21 +198,21 @@ class PlyWriter(DataSourceArrowWriter):
                     a[n] = values
                 f.write(a.tobytes())
                 rows += b.num_rows
+            f.seek(0)
+            f.write(header(rows, self.fields, self.comments))
         return Written(name, rows)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Tasks leave bodies; now that all have ended, each gets its header."""
+        """Tasks leave whole files; now that all have ended, each gets its name."""
         if self.overwrite:
             for old in glob.glob(os.path.join(self.path, "part-*.ply")):
                 os.unlink(old)
         done = [m for m in messages if m is not None]
         for i, m in enumerate(m for m in done if m.rows or len(done) == 1):
-            with open(os.path.join(self.path, f"part-{i:05d}-{uuid.uuid4().hex[:8]}.ply"), "wb") as out, open(m.path, "rb") as body:
-                out.write(header(m.rows, self.fields, self.comments))
-                while block := body.read(1 << 20):
-                    out.write(block)
+            os.rename(m.path, os.path.join(self.path, f"part-{i:05d}-{uuid.uuid4().hex[:8]}.ply"))
         for m in done:
-            os.unlink(m.path)
+            if os.path.exists(m.path):
+                os.unlink(m.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
@@ -220,7 +221,8 @@ class PlyWriter(DataSourceArrowWriter):
 
 
 def header(count: int, fields: list[tuple[str, str]], comments: list[str]) -> bytes:
-    lines = ["ply", "format binary_little_endian 1.0", *[f"comment {c}" for c in comments], f"element vertex {count}", *[f"property {t} {n}" for n, t in fields], "end_header"]
+    """As long for any count (spaces follow it), so that it can be written again once the records are counted."""
+    lines = ["ply", "format binary_little_endian 1.0", *[f"comment {c}" for c in comments], f"element vertex {count:<19}", *[f"property {t} {n}" for n, t in fields], "end_header"]
     return ("\n".join(lines) + "\n").encode("ascii")
 
 

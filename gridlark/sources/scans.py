@@ -6,11 +6,13 @@ import os
 import shutil
 import urllib.parse
 import urllib.request
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,3 +260,20 @@ def list_windows(root: str, sequence: str, dynamic: bool = False) -> list[str]:
 
 def list_frames(folder: str) -> list[tuple[int, str]]:
     return [(int(os.path.splitext(os.path.basename(p))[0]), p) for p in files_of(folder, ".bin")]
+
+
+def write_scans(df: DataFrame, path: str) -> None:
+    """Writes scans (frame, pid, x, y, z, intensity) as one file a frame, flat little-endian floats in the order of pid;
+    each frame is written by a task, under a name of its own that it gets when it is whole."""
+    folder = path.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("pid")
+        frame = int(t["frame"].iloc[0])
+        part = os.path.join(folder, f".{frame:010d}-{uuid.uuid4().hex}")
+        t[["x", "y", "z", "intensity"]].to_numpy("<f4").tofile(part)
+        os.replace(part, os.path.join(folder, f"{frame:010d}.bin"))
+        return pd.DataFrame({"frame": [frame], "rows": [len(t)]})
+
+    df.select("frame", "pid", "x", "y", "z", "intensity").groupBy("frame").applyInPandas(one, "frame long, rows long").write.format("noop").mode("overwrite").save()

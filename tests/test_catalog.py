@@ -28,14 +28,14 @@ def test_entry(spark):
 
 def test_walks_start_from_every_node(spark):
     nodes = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id").distinct().count()
-    assert catalog.QUERIES["parent_chain_all"](spark, SMALL).count() == nodes
+    assert catalog.QUERIES["parent_chain"](spark, SMALL).count() == nodes
 
 
 def test_frames_are_given_to_all_points(spark):
     many = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
-    assert catalog.QUERIES["frame_and_intensity_all"](spark, SMALL).count() == many
+    assert catalog.QUERIES["frame_and_intensity"](spark, SMALL).count() == many
 
 
 def test_projection_takes_all_points(spark):
     many = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
-    assert catalog.QUERIES["xyz_only_all"](spark, SMALL).count() == many
+    assert catalog.QUERIES["xyz_only"](spark, SMALL).count() == many

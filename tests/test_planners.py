@@ -126,3 +126,25 @@ def test_frontiers_that_are_not_settled_are_an_error(spark):
     assert [r["cost"] for r in pl.frontier_costs(free, pairs).collect()] == [4.0]
     with pytest.raises(RuntimeError):
         pl.frontier_costs(free, pairs, rounds=2)
+
+
+def test_users_planners_and_collision_tests(spark):
+    g = grid(["......"] * 6)
+    m = pl.MixtureMap(np.array([1.0]), np.array([[9.0, 9, 0]]), np.array([[0.1, 0.1, 0.1]]), 1.0, 10.0, 1.0, 0.0)
+    pairs = spark.createDataFrame([("s", i, 0.0, 0.0, 5.0, 5.0, 100 + i) for i in range(2)], "scene string, trial long, sx double, sy double, gx double, gy double, seed long")
+    straight = lambda scene, start, goal, config, rng, collision: ([start, goal], {"success": True, "nodes": 2, "cost": 1.0, "time_s": 0.0, "error": None})
+    out = pl.plan_trials(pairs, {"s": pl.Scene(g, m, 0.1)}, pl.RrtConfig(**CONFIG | {"max_iter": 400}), {"line": straight, "rrt_grid": pl.PLANNERS["rrt_grid"]}, 0, collision=lambda scene: lambda a, b: bool(b[0] >= b[1] - 1e-9)).collect()
+    by = {(r["planner"], r["trial"]): r for r in out}
+    assert len(by["line", 0]["path"]) == 2
+    assert all(x["x"] >= x["y"] - 1e-9 for k, r in by.items() if k[0] == "rrt_grid" and r["success"] for x in r["path"])
+    path, _ = pl.rrt_star(g, (0, 5, 0, 5), (0, 0), (5, 5), pl.RrtConfig(**CONFIG | {"max_iter": 400}), np.random.default_rng(101), lambda a, b: bool(b[0] >= b[1] - 1e-9))
+    assert (by["rrt_grid", 1]["path"] is None) == (path is None) and (path is None or [(p["x"], p["y"]) for p in by["rrt_grid", 1]["path"]] == path)
+
+
+def test_drawn_pairs(spark):
+    cells = spark.createDataFrame([(s, i, j, float(i), float(j)) for s in "ab" for i in range(6 if s == "a" else 2) for j in range(6)], "scene string, ix int, iy int, x double, y double")
+    p = pl.sample_pairs(cells, 10, 2.0, 4.0, 7, ("scene",)).collect()
+    assert sum(r["scene"] == "a" for r in p) == 10 and all(2 <= math.dist((r["sx"], r["sy"]), (r["gx"], r["gy"])) <= 4 for r in p)
+    assert pl.sample_pairs(cells, 10, 50.0, 60.0, 7, ("scene",)).count() == 0
+    t = pl.topped_up(pl.sample_pairs(cells.filter("scene = 'a'").limit(2), 3, 0.0, 9.0, 7), 8).collect()
+    assert sorted(r["trial"] for r in t) == list(range(8))

@@ -113,6 +113,20 @@ def test_command_line(spark, dataset, capsys, monkeypatch):
     assert spark.read.parquet(root + "/map/grid").count() == 64
 
 
+def test_training_and_evaluation_commands(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda *a: spark)
+    scans.register(spark)
+    p = cloud(spark, 300)
+    os.makedirs(tmp_path / "in")
+    for s in "ab":
+        p.filter(F.col("scene") == s).select("x", "y", "z").coalesce(1).write.format("ply").mode("append").save(f"{tmp_path}/{s}")
+        os.rename(next((tmp_path / s).glob("*.ply")), tmp_path / "in" / f"{s}.ply")
+    cli.main(["train", "--ply", f"{tmp_path}/in", "--out", f"{tmp_path}/maps", "--components", "2", "--max-iter", "5", "--cells", "8"])
+    assert "|   2|  2|" in capsys.readouterr().out
+    cli.main(["evaluate", "--maps", f"{tmp_path}/maps", "--out", f"{tmp_path}/eval", "--scenes", "A:a:train,B:b:test", "--trials", "2", "--iterations", "40", "--min-dist", "0.5", "--max-dist", "4", "--step", "0.5", "--goal-radius", "0.6", "--neighbor-radius", "1.5", "--threshold", "0.9"])
+    assert "advantage" in capsys.readouterr().out and spark.read.parquet(f"{tmp_path}/eval/trials").count() == 16
+
+
 @pytest.mark.parametrize("text", ["1,2,3", "2,1,0,1,0,1"])
 def test_bad_crops(text):
     with pytest.raises(ValueError):
@@ -138,3 +152,84 @@ def test_growing_maps_have_all_stages_and_pairs(spark, monkeypatch):
         assert (components, rounds, cells, held) == (32, 60, 64, 3000)
         if name == "incremental_planning":
             assert rest[4].count() == 30
+
+
+def test_unfitted_models_are_not_stored(spark, tmp_path):
+    from gridlark.operators.mixture import fit_each
+
+    bad = spark.createDataFrame([("c", 1, float("inf"), 0.0, 0.0)], "scene string, pid long, x double, y double, z double")
+    with pytest.raises(ValueError, match="not fitted: c"):
+        maps.save_models(fit_each(bad, GmmParams(2)), str(tmp_path))
+
+
+def test_training_options(spark, tmp_path):
+    """Elapsed times in order, the count of trained scenes, sharpened components, and grids over all points."""
+    from gridlark.operators.points import bounds
+
+    points = cloud(spark)
+    a = maps.train(points, f"{tmp_path}/a", GmmParams(2, max_iter=5), 4, 20.0, 1.0, 50, 0.35)
+    rows = a.collect()
+    assert [r["elapsed_s"] for r in rows] == sorted(r["elapsed_s"] for r in rows) and maps.trained(a).first()["n_ok"] == 2
+    maps.train(points, f"{tmp_path}/b", GmmParams(2, max_iter=5), 4, 20.0, 1.0, 50, 0.35, sharpen=0.5, whole_bounds=True)
+    v = [{(r["scene"], r["comp"]): r["vx"] for r in spark.read.parquet(f"{tmp_path}/{d}/gmm").collect()} for d in "ab"]
+    assert all(v[1][k] == pytest.approx(x / 4) for k, x in v[0].items())
+    refs = [sorted(r["density_ref"] for r in spark.read.parquet(f"{tmp_path}/{d}/reference").collect()) for d in "ab"]
+    assert refs[0] == pytest.approx(refs[1])
+    most = spark.read.parquet(f"{tmp_path}/b/grid").groupBy("scene").agg(F.max("x").alias("x"))
+    want = bounds(points, 0.1, "scene").select("scene", "hi_x")
+    assert all(r["x"] == pytest.approx(r["hi_x"]) for r in most.join(want, "scene").collect())
+
+
+def test_fits_in_tasks_equal_the_distributed_fit(spark):
+    """From the same start both go the same way: with one component to the same model."""
+    from gridlark.operators.mixture import fit, fit_each, reference_density
+
+    p = cloud(spark)
+    one = {r["scene"]: r for r in fit_each(p, GmmParams(1)).collect()}
+    for r in fit(p, GmmParams(1))[0].collect():
+        assert all(one[r["scene"]][c] == pytest.approx(r[c]) for c in ("w", "mx", "my", "mz", "vx", "vy", "vz"))
+    own = p.filter("scene = 'a'")
+    ref = reference_density(own, fit_each(own, GmmParams(1)), "pid").first()[0]
+    assert one["a"]["density_ref"] == pytest.approx(ref)
+
+
+def test_evaluation_of_scenes_equals_scene_by_scene(spark):
+    from gridlark import catalog
+    from gridlark.operators import planners as pl
+    from gridlark.plans import experiments as ex
+
+    sf = "/root/testdata/sf0.001"
+    models, references, grids = catalog._scene_maps(spark, sf)
+    rows = [("a", "scene-0", "train"), ("b", "scene-1", "train"), ("c", "scene-3", "test")]
+    rrt = pl.RrtConfig(0.06, 60, 0.06, 0.15, 0.05, 0.35, 0.02)
+    run = lambda rs: ex.evaluate_scenes(ex.scene_table(spark, rs), models, references, grids, rrt, 42, 4, 0.25, 0.8, 10.0, 1.0, 0.02, ("astar_grid", "rrt_mixture"))
+    whole = run(rows)
+    got = {(r["scene"], r["planner"]): r for r in whole.scenes.collect()}
+    assert len(got) == 6 and {r["split"] for r in whole.splits.collect()} == {"train", "test"} and whole.top.count() == 2
+    for row in rows[:2]:
+        for r in run([row]).scenes.collect():
+            assert all(r[c] == got[r["scene"], r["planner"]][c] for c in ("n", "rate", "raw_length", "raw_turns", "max_occ", "free_pct", "model_free_pct"))
+    assert whole.trials.filter("success").count() > 0
+
+
+def test_stages_with_trials(spark):
+    from gridlark.operators import planners as pl
+    from gridlark.plans.experiments import incremental
+
+    p = cloud(spark, 300).filter("scene = 'a'").select("pid", "x", "y", "z")
+    pairs = spark.createDataFrame([(i, -2.5, -2.5, 2.5, float(i)) for i in range(3)], "trial long, sx double, sy double, gx double, gy double")
+    rrt = pl.RrtConfig(0.5, 150, 0.6, 1.5, 0.1, 0.9, 0.2)
+    out = incremental(p, (0.2, 1.0), 2, 10, 8, 200, 10.0, 1.0, 1, 0.2, pairs, rrt, 0.0, cap=100).collect()
+    assert [r["n_obs"] for r in out] == [60, 300] and all(0 <= r["gmm_success"] <= 1 and 0 <= r["grid_success"] <= 1 for r in out)
+    assert all(0 < r["update_s_gmm"] < r["update_s_grid"] and 0 <= r["gmm_mae"] <= 1 for r in out)
+
+
+def test_cleaned_windows_keep_the_order_of_records(spark, tmp_path):
+    scans.register(spark)
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), 0.0) for a, b in rng.integers(0, 30, (500, 2))]
+    spark.createDataFrame(rows, "x float, y float, z float").coalesce(1).write.format("ply").mode("append").save(f"{tmp_path}/a")
+    maps.prepare_fused(spark, f"{tmp_path}/a", f"{tmp_path}/b", voxel_size=1.0)
+    files = sorted(f for f in os.listdir(tmp_path / "b") if f.endswith(".ply"))
+    got = [tuple(r)[:2] for f in files for r in spark.read.format("ply").load(f"{tmp_path}/b/{f}").orderBy("pid").collect()]
+    assert got == list(dict.fromkeys(r[:2] for r in rows))
