@@ -242,10 +242,13 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
 
 
 def units(queries: DataFrame, b: DataFrame) -> DataFrame:
-    """Groups of candidate blocks, each with all blocks of queries behind them. What is numbered is a row a block."""
-    groups = -(-max(1, b.count()) // BLOCKS_A_GROUP)
+    """Groups of candidate blocks, each with all blocks of queries behind them: as many blocks as a task may hold, fewer
+    if there would be more cores than groups. What is numbered is a row a block."""
+    many = max(1, b.count())
+    held = max(1, min(BLOCKS_A_GROUP, many // b.sparkSession.sparkContext.defaultParallelism))
+    groups = -(-many // held)
     none = F.lit(None).cast("binary")
-    group = F.floor((F.row_number().over(Window.orderBy("block")) - 1) / BLOCKS_A_GROUP)
+    group = F.floor((F.row_number().over(Window.orderBy("block")) - 1) / held)
     c = b.join(b.select("block", group.alias("group")), "block").select("group", F.lit(0).alias("kind"), "block", "n", "wide", none.alias("q_blocks"), none.alias("q_rows"), "keys", "values")
     q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("group"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("block"), "n", "wide", "q_blocks", "q_rows", "keys", "values")
     return c.unionByName(q).repartition(groups, "group").sortWithinPartitions("group", "kind", "block").drop("kind")
