@@ -102,20 +102,31 @@ def learn(tokens: list[str], alpha: float = 0.05, least: int = 4) -> Automaton:
                 else:
                     kids[p][s] = to
 
-    red, blue = [0], deque((0, s) for s in sorted(kids[0]))
+    red, done, blue, queued, known = [0], {0}, deque(), set(), Counter()
+
+    def queue(states: list[int]) -> None:
+        for r in states:
+            for x in sorted(kids[r]):
+                if (r, x) not in queued:
+                    queued.add((r, x))
+                    blue.append((r, x))
+
+    queue(red)
     while blue:
         parent, s = blue.popleft()
         state = kids[parent].get(s)
-        if state is None or state in red:
+        if state is None or state in done:
             continue
         into = next((r for r in red if compatible(r, state)), None)
         if into is None:
             red.append(state)
-            blue.extend((state, x) for x in sorted(kids[state]))
+            done.add(state)
+            queue([state])
         else:
             kids[parent][s] = into
             fold(into, state)
-            blue.extend((r, x) for r in red for x in sorted(kids[r]) if kids[r][x] not in red)
+            queue([r for r in red if len(kids[r]) > known[r]])
+            known.update((r, len(kids[r])) for r in red)
     number = {r: i for i, r in enumerate(red)}
     often = Counter(s for token in tokens for s in symbols(token))
     base = {s: BACK_OFF * max(n / often.total(), UNSEEN) for s, n in often.items()} | {OTHER: BACK_OFF * UNSEEN}
