@@ -839,7 +839,7 @@ def ply_round_trip(spark, sf_dir):
     return spark.read.format("ply").load(path)
 
 
-@query(f"{P}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, pk, sk, x) - 1 AS pid FROM points) SELECT frame::BIGINT AS frame, pid, x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z, semantic_id::FLOAT AS intensity FROM r WHERE frame BETWEEN 400 AND 420")
+@query(f"{P}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, pk, sk, x) - 1 AS pid FROM points) SELECT frame::BIGINT AS frame, pid, x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z, semantic_id::FLOAT AS intensity FROM r WHERE frame BETWEEN 1500 AND 1600")
 def scan_round_trip(spark, sf_dir):
     """Raw scans written as a file a frame and read back over a range of frames, whose files alone are opened."""
     from pyspark.sql.window import Window
@@ -850,7 +850,7 @@ def scan_round_trip(spark, sf_dir):
     path = _folder(spark, "scans")
     pid = (F.row_number().over(Window.partitionBy("frame").orderBy(*POINT_ORDER)) - 1).alias("pid")
     write_scans(points(spark, sf_dir).select(F.col("frame").cast("long").alias("frame"), pid, *[F.col(c).cast("float").alias(c) for c in "xyz"], F.col("semantic_id").cast("float").alias("intensity")), path)
-    return spark.read.format("velodyne").load(path).filter("frame BETWEEN 400 AND 420")
+    return spark.read.format("velodyne").load(path).filter("frame BETWEEN 1500 AND 1600")
 
 
 @query("SELECT c_custkey AS frame, c_nationkey::DOUBLE AS tx, (c_custkey % 7)::DOUBLE AS ty, 1.0::DOUBLE AS last FROM customer")
