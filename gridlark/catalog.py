@@ -30,7 +30,7 @@ ORACLES: dict[str, str] = {}
 BOX = (5.0, 60.0, 5.0, 40.0, 1.0, 9.0)
 CELLS, LAM, POWER, THRESHOLD, EXPORT = 16, 10.0, 1.0, 0.35, 0.3
 STEP, STATIONS, SEED = 0.02, 20, 42
-#: The growing maps: shares of the points seen, size of the fits and grids, held-out positions (experiment3_dynamic.py:55-68).
+#: The growing maps: shares of the points seen, size of the fits and grids, held-out positions.
 REVEALED = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 FIT_COMPONENTS, FIT_ROUNDS, FIT_CELLS, HELD_OUT = 32, 60, 64, 3000
 
