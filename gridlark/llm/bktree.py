@@ -30,8 +30,9 @@ def build(points: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return parent, key, level
 
 
-def pairs_within(points: np.ndarray, tree: np.ndarray, radius: int, block: int = 1024):
-    """Yields arrays (i, j), i < j: the pairs of one tree within the radius. Queries go in blocks to bound memory."""
+def pairs_within(points: np.ndarray, tree: np.ndarray, radius: int, block: int = 1024, ask: np.ndarray | None = None):
+    """Yields arrays (i, j), i < j: the pairs of one tree within the radius. Queries go in blocks to bound memory.
+    With `ask` (a mask of the points) only those points search, which gives the pairs with one of them at least."""
     n = len(points)
     if not n:
         return
@@ -43,14 +44,15 @@ def pairs_within(points: np.ndarray, tree: np.ndarray, radius: int, block: int =
     _, which = np.unique(tree, return_inverse=True)
     root_of = np.empty(which.max() + 1, np.int64)
     root_of[which[roots]] = roots
-    for a in range(0, n, block):
-        q = np.arange(a, min(n, a + block))
+    queries = np.arange(n) if ask is None else np.flatnonzero(ask)
+    for a in range(0, len(queries), block):
+        q = queries[a : a + block]
         node = root_of[which[q]]
         while len(q):
             d = np.bitwise_count(points[q] ^ points[node]).astype(np.int64)
-            hit = (d <= radius) & (q < node)
+            hit = (d <= radius) & ((q < node) if ask is None else (q < node) | ((q > node) & ~ask[node]))
             if hit.any():
-                yield q[hit], node[hit]
+                yield np.minimum(q[hit], node[hit]), np.maximum(q[hit], node[hit])
             down = many[node] > 0
             q, node, d = q[down], node[down], d[down]
             times = many[node]

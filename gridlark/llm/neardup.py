@@ -1,35 +1,43 @@
 """Near copies by Jaccard similarity: SimHash fingerprints in BK-trees find candidates, whole shingle sets decide.
 
 Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two such sets differ in
-about 10 of 64 fingerprint bits, up to 22, too many for shards by blocks of equal bits; so shards are made by bands of
-minima of the sets instead, and the trees are built and searched within them."""
+about 10 of 64 fingerprint bits, up to 22, too many for shards by blocks of equal bits; so the fingerprint goes on for
+512 bits, its bits are drawn into many short shard keys, and the trees are built and searched within these shards."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bktree import components, pairs_within
+from .bktree import pairs_within
 from .common import fresh, mapped, numbered, text_or_empty, written
-from .simhash import _LOWER, CHUNK, SEED, linked_sets, set_bits
+from .simhash import _LOWER, SEED, linked_sets
 
 #: Words of a shingle, and the least similarity, as a fraction.
 SHINGLE = 5
 ALIKE = (4, 5)
-#: Bands of minima: sets of similarity 0.8 share one with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
-BANDS, ROWS = 16, 4
-#: Bits that fingerprints of candidates may differ in: at similarity 0.8 a bit differs with probability 0.152 (0.19 for
-#: sets of five), so that of such pairs 0.99999 (0.9996) are within it.
-RADIUS = 22
-#: Shingles of a part of a shard (each set counts as 500 more), sets that are compared with one set in a task, and
-#: columns of a matrix of sets.
-PART, TOGETHER, COLUMNS = 1_000_000, 500, 4096
+#: Sets of fewer members are alike only if they are equal.
+LEAST = -(-ALIKE[0] // (ALIKE[1] - ALIKE[0]))
+#: 64-bit words of a fingerprint, and bits of a shard's key. The bits are dealt DEALS times into keys, which makes 78
+#: tables of shards: at similarity 0.8 a bit differs with probability 0.152 (0.19 for sets of five), so two such sets
+#: share a shard with probability 1 - (1 - 0.848 ** 13) ** 78 = 0.9999 (0.995).
+WORDS, BITS, DEALS = 8, 13, 2
+#: Bits that candidates may differ in, of the first 64 (where the trees are) and of the first 128: at similarity 0.8
+#: 0.99999 of the pairs are within both (0.999 for sets of five).
+RADIUS, RADIUS_2 = 22, 40
+#: Tables whose shards are first searched from their trees' roots only.
+STARS = 8
+#: Weight of a part: of shards, where a set counts as SET, and of sets that are compared with each other, where one
+#: counts as its members and 500; sets that are compared with one set in a task, and columns of a matrix of sets.
+PART, SET, TOGETHER, COLUMNS = 1_000_000, 100, 500, 4096
 #: Words whose hash a worker remembers, and the longest one.
 REMEMBER, LONG = 1_000_000, 64
+#: Members unpacked to bits at a time (512 bytes each; their counts fit 16 bits).
+ROWS = 512
 
 
 class Words(dict):
@@ -63,40 +71,56 @@ def shingle_set(text: str, known: Words, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(33)))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row a set, a column a band: the hash of the band's ROWS minima. Sets without members get zeros."""
-    import xxhash
-
+def _drawn() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What makes the words of a fingerprint (flipped bits, odd factors), and the bits of each table's keys."""
     rng = np.random.default_rng(SEED)
-    flip = rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
-    times = rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.zeros((len(sets), BANDS * ROWS), np.uint64)
-    full = [i for i, x in enumerate(sets) if len(x)]
-    at = 0
-    while at < len(full):
-        end, total = at, 0
-        while end < len(full) and (end == at or total + len(sets[full[end]]) <= CHUNK):
-            total += len(sets[full[end]])
-            end += 1
-        part = [sets[i] for i in full[at:end]]
-        h, starts = np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
-        for k in range(BANDS * ROWS):
-            least[full[at:end], k] = np.minimum.reduceat((h ^ flip[k]) * times[k], starts)
-        at = end
-    wide = ROWS * 8
-    keys = [[xxhash.xxh64_intdigest(raw[b * wide : (b + 1) * wide], b) for b in range(BANDS)] for raw in (r.tobytes() for r in least)]
-    return np.array(keys, np.uint64).reshape(len(sets), BANDS)
+    flip = rng.integers(0, 2**64, WORDS, np.uint64)
+    times = rng.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+    tables = 64 * WORDS // BITS
+    return flip, times, np.concatenate([rng.permutation(64 * WORDS)[: tables * BITS].reshape(tables, BITS) for _ in range(DEALS)])
+
+
+FLIP, TIMES, TABLES = _drawn()
+
+
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row a set, its SimHash in WORDS words: a bit is 1 if set in over half of the members, which are hashed anew for
+    each word but the first."""
+    out = np.zeros((len(sets), WORDS), "<u8")
+    for i, members in enumerate(sets):
+        total = np.zeros(64 * WORDS, np.int64)
+        for a in range(0, len(members), ROWS):
+            h = members[a : a + ROWS]
+            x = (h[:, None] ^ FLIP) * TIMES
+            x ^= x >> np.uint64(32)
+            x[:, 0] = h
+            total += np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        out[i] = np.packbits(total * 2 > len(members), bitorder="little").view("<u8")
+    return out
+
+
+def shard_keys(words: np.ndarray) -> np.ndarray:
+    """A row a fingerprint, a column a table: the shard of the table's bits."""
+    bits = np.unpackbits(words.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+    out = np.empty((len(words), len(TABLES)), np.int32)
+    for t, places in enumerate(TABLES):
+        out[:, t] = (t << BITS) + bits[:, places] @ (1 << np.arange(BITS))
+    return out
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row a set, a column a table: the set's shard there, by bits of its fingerprint."""
+    return shard_keys(fingerprints(sets))
 
 
 def fingerprint(members: np.ndarray) -> int:
-    """The SimHash of a set, as a signed long: a bit is 1 if set in over half of the members."""
-    total = sum((set_bits(members[a : a + CHUNK]) for a in range(0, len(members), CHUNK)), np.zeros(64, np.int64))
-    return int.from_bytes(np.packbits(total * 2 > len(members), bitorder="little").tobytes(), "little", signed=True)
+    """The first 64 bits of a set's fingerprint, as a signed long."""
+    return int(fingerprints([members]).view("<i8")[0, 0])
 
 
 def sketches(rows: DataFrame, file: str, place: str) -> DataFrame:
-    """file, place, doc_id, id (a hash of the shingle set), n (its size), fp (its fingerprint), bands of each document;
-    null text counts as empty."""
+    """file, place, doc_id, id (a hash of the shingle set), n (its size), fp and more (the first words of its
+    fingerprint), shards of each document; null text counts as empty."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -107,18 +131,13 @@ def sketches(rows: DataFrame, file: str, place: str) -> DataFrame:
                 b = whole.slice(at, 500)
                 sets = [shingle_set(t, known) for t in b.column(3).to_pylist()]
                 own = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-                bands = pa.array(band_keys(sets).view(np.int64).tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(fingerprint, sets)), pa.int64()), bands], names=["file", "place", "doc_id", "id", "n", "fp", "bands"])
+                words = fingerprints(sets)
+                fp, more = (pa.array(words[:, k].astype(np.uint64).view(np.int64)) for k in (0, 1))
+                shards = pa.array(list(shard_keys(words)), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own), pa.array(list(map(len, sets)), pa.int64()), fp, more, shards], names=["file", "place", "doc_id", "id", "n", "fp", "more", "shards"])
 
     d = rows.select(F.col(file).alias("file"), F.col(place).alias("place"), rows["doc_id"].cast("long").alias("doc_id"), text_or_empty(rows).alias("text"))
-    return mapped(d, batches, "file long, place long, doc_id long, id long, n long, fp long, bands array<long>")
-
-
-def _near(a: str, b: str) -> Column:
-    """Whether two sets can be alike, by their sizes and fingerprints."""
-    few, many = ALIKE
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (n * many >= m * few) & (m * many >= n * few) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
+    return mapped(d, batches, "file long, place long, doc_id long, id long, n long, fp long, more long, shards array<int>")
 
 
 def shingle_sets(ids: DataFrame, distinct: DataFrame, rows: DataFrame, file: str, place: str) -> DataFrame:
@@ -183,87 +202,171 @@ def common_members(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def alike_across(fp: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between roots of the sets that are alike: of the pairs that a BK-tree finds, those of different roots and,
-    where there are two sides, of different sides. Only as many links are given as hold the roots together."""
+def alike_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of sets are alike, exactly."""
     few, many = ALIKE
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    both = common_members(sets)
+    if 20 * len(i) > len(sets) ** 2:
+        both = common_members(sets)[i, j]
+    else:
+        both = np.fromiter((len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)), np.int64, len(i))
+    return both * (few + many) >= (n[i] + n[j]) * few
+
+
+def verified_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """As `verified`, for pairs of which many may be among the same sets: those with the same least neighbour are sent to
+    a task together, each once, and are cut into parts of weight PART, of which every two with pairs meet."""
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, members, ends = None, [], [], []
+
+        def solve() -> pa.RecordBatch:
+            order = np.argsort(np.array(names, np.int64))
+            own = np.array(names, np.int64)[order]
+            met = np.concatenate(ends, axis=1)
+            ok = alike_pairs([members[k] for k in order], np.searchsorted(own, met[0]), np.searchsorted(own, met[1]))
+            for column in (names, members, ends):
+                column.clear()
+            return pa.RecordBatch.from_arrays([pa.array(e[ok]) for e in met], names=["id", "to"])
+
+        for b in it:
+            units = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(units)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(units)], strict=True):
+                if start == end:
+                    continue
+                if units[start] != now and ends:
+                    yield solve()
+                now = units[start]
+                part = b.slice(start, end - start)
+                sets = part.column(2).null_count  # they come first
+                names += part.column(1)[:sets].to_pylist()
+                members += [np.frombuffer(raw.as_buffer(), "<u8").copy() for raw in part.column(3)[:sets]]
+                if sets < part.num_rows:
+                    ends.append(np.stack([part.column(c)[sets:].to_numpy() for c in (1, 2)]))
+        if ends:
+            yield solve()
+
+    both = pairs.unionByName(pairs.select(F.col("to").alias("id"), F.col("id").alias("to")))
+    least = both.groupBy("id").agg(F.least("id", F.min("to")).alias("group"))
+    weighed = least.join(sets.select("id", (F.length("members") / 8 + 500).alias("weight")), "id")
+    parts = weighed.groupBy("group").agg(F.ceil(F.sum("weight") / PART).alias("parts"))
+    part = written(weighed.join(parts, "group").select("id", F.xxhash64("group", F.pmod(F.xxhash64("id"), "parts")).alias("part")), "parts")
+    own, other = part.withColumnRenamed("part", "a"), part.select(F.col("id").alias("to"), F.col("part").alias("b"))
+    met = written(pairs.join(own, "id").join(other, "to").select(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "id", "to"), "met")
+    sent = met.select("unit", F.explode(F.array("id", "to")).alias("id")).distinct().join(sets, "id").select("unit", "id", F.lit(None).cast("long").alias("to"), "members")
+    dealt = sent.unionByName(met.withColumn("members", F.lit(None).cast("binary"))).repartition("unit").sortWithinPartitions("unit", F.asc_nulls_first("to"))
+    return mapped(dealt, compare, "id long, to long")
+
+
+def _not_of_the_largest(tree: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which points are not of the root that most points of their tree have. All links across roots have one of these."""
     names, label = np.unique(root, return_inverse=True)
-    met: list[np.ndarray] = []
-    for i, j in pairs_within(fp.view(np.uint64), np.zeros(len(fp), np.int64), RADIUS, block=256):
-        ok = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (both[i, j] * (few + many) >= (n[i] + n[j]) * few)
-        a, b = label[i[ok]], label[j[ok]]
-        met.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
-    met = np.unique(np.concatenate(met)) if met else np.empty(0, np.int64)
-    joined = components(len(names), [(met // len(names), met % len(names))])
-    return [(int(names[r]), int(names[k])) for k, r in enumerate(joined.tolist()) if r != k]
-
-
-def across(shards: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, to: links between the roots of a shard (shard, id, n, fp, root) over sets that are alike.
-
-    A shard of over PART members is cut into parts, and every two parts meet in a task of their own; a root with so
-    many members has parts for itself, which do not meet each other, so that a large group of copies is never paired
-    with itself. The sets are compared where their shard is, so that no pairs are written."""
-    weight = F.col("n") + 500
-    per = shards.groupBy("shard", "root").agg(F.sum(weight).alias("own"))
-    roots = per.join(per.groupBy("shard").agg(F.sum("own").alias("all")), "shard")
-    large = (F.col("all") > PART) & (F.col("own") > PART)
-    d = shards.join(roots, ["shard", "root"]).withColumn("pure", F.when(large, F.col("root")))
-    part = F.when(F.col("all") <= PART, F.lit(0).cast("long")).when(large, F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / PART)))).otherwise(F.xxhash64(F.pmod(F.xxhash64("root"), F.ceil(F.col("all") / PART)), F.lit("mixed")))
-    d = written(d.select("shard", part.alias("part"), "pure", "id", "fp", "root"), "parts")
+    groups, which, many = np.unique(tree * len(names) + label, return_inverse=True, return_counts=True)
+    order = np.lexsort((-many, groups // len(names)))
+    _, first = np.unique(groups[order] // len(names), return_index=True)
+    largest = np.zeros(len(groups), bool)
+    largest[order[first]] = True
+    return ~largest[which]
+
+
+def candidates(unit: np.ndarray, side: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, more: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs, lesser one first, that BK-trees over the fingerprints `fp` find, a tree a unit: of different
+    roots and, where there are two sides, of different sides, of sizes that can be alike and near by `more` as well.
+    With `stars` only pairs with a tree's root."""
+    few, many = ALIKE
+    _, first, tree = np.unique(unit, return_index=True, return_inverse=True)
+    if stars:
+        ask = np.zeros(len(unit), bool)
+        ask[first] = True
+    else:
+        ask = np.where(side == 0, _not_of_the_largest(tree, root), side == 1)
+    sizes = np.bincount(tree)
+    live = (np.bincount(tree, ask) > 0) & (sizes > 1)
+    keep = live[tree]
+    side, ids, root, n, fp, more, tree, ask = (x[keep] for x in (side, ids, root, n, fp.view(np.uint64), more.view(np.uint64), tree, ask))
+    out = []
+    for i, j in pairs_within(fp, tree, RADIUS, block=max(64, min(2048, (1 << 18) // int(sizes.max(initial=1)))), ask=ask):
+        ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (n[i] * many >= n[j] * few) & (n[j] * many >= n[i] * few)
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]) <= RADIUS_2
+        i, j = ids[i[ok]], ids[j[ok]]
+        out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+    found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+    return found[0], found[1]
+
+
+def _units(d: DataFrame, stars: bool) -> DataFrame:
+    """Rows (shard, id, root, n, fp, more) with the unit whose tree they enter and their side there.
+
+    A unit is a shard. A shard of over PART is cut into parts, and every two parts meet in a unit of their own; a root
+    with so many sets has parts for itself, which do not meet each other, so that a large group of copies is never
+    paired with itself. For `stars` each part is a unit."""
+    sizes = written(d.groupBy("shard").agg((F.count(F.lit(1)) * SET).alias("all")).filter(F.col("all") > PART), "sizes")
+    columns = ["id", "root", "n", "fp", "more"]
+    whole = d.join(sizes, "shard", "left_anti").select(F.col("shard").cast("long").alias("unit"), F.lit(0).alias("side"), *columns)
+    if sizes.isEmpty():
+        return whole
+    d = d.join(sizes, "shard")
+    if stars:
+        return whole.unionByName(d.select(F.xxhash64("shard", F.pmod(F.xxhash64("id"), F.ceil(F.col("all") / PART))).alias("unit"), F.lit(0).alias("side"), *columns))
+    own = d.groupBy("shard", "root").agg((F.count(F.lit(1)) * SET).alias("own")).filter(F.col("own") > PART)
+    d = d.join(own, ["shard", "root"], "left").withColumn("pure", F.when(F.col("own").isNotNull(), F.col("root")))
+    part = F.when(F.col("own").isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / PART)))).otherwise(F.xxhash64(F.pmod(F.xxhash64("root"), F.ceil(F.col("all") / PART)), F.lit("mixed")))
+    d = written(d.select("shard", part.alias("part"), "pure", *columns), "parts")
     parts = d.select("shard", "part", "pure").distinct()
     other = parts.select("shard", F.col("part").alias("part_b"), F.col("pure").alias("pure_b"))
     met = parts.join(other, "shard").filter((F.col("part") <= F.col("part_b")) & ~F.coalesce(F.col("pure") == F.col("pure_b"), F.lit(False)))
     sides = F.when(F.col("part") == F.col("part_b"), F.array(F.struct("part", F.lit(0).alias("side")))).otherwise(F.array(F.struct("part", F.lit(1).alias("side")), F.struct(F.col("part_b").alias("part"), F.lit(2).alias("side"))))
     dealt = met.select("shard", F.xxhash64("shard", "part", "part_b").alias("unit"), F.explode(sides).alias("s")).select("shard", "unit", "s.part", "s.side")
-    rows = d.join(dealt, ["shard", "part"]).join(sets, "id").select("unit", "side", "fp", "root", "members")
+    return whole.unionByName(d.join(dealt, ["shard", "part"]).select("unit", "side", *columns))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides, fps, names, sets = None, [], [], [], []
 
-        def solve() -> pa.RecordBatch:
-            links = alike_across(np.array(fps, np.int64), np.array(names, np.int64), np.array(sides), sets)
-            for column in (sides, fps, names, sets):
-                column.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["id", "to"])
+def near_pairs(d: DataFrame, stars: bool = False) -> DataFrame:
+    """id, to: the distinct candidates of all shards of the sets (id, root, n, fp, more, shards)."""
 
-        for b in it:
-            for unit, side, fp, root, raw in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4), strict=True):
-                if unit != now and sets:
-                    yield solve()
-                now = unit
-                sides.append(side)
-                fps.append(fp)
-                names.append(root)
-                sets.append(np.frombuffer(raw.as_buffer(), "<u8").copy())
-        if sets:
-            yield solve()
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in candidates(*columns, stars)], names=["id", "to"])
 
-    return mapped(rows.repartition("unit").sortWithinPartitions("unit"), batches, "id long, to long").distinct()
+        rest: list[list[np.ndarray]] = []  # of the last unit, which may go on
+        for b in it:
+            now = [c.to_numpy() for c in b.columns]
+            if not b.num_rows:
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if rest and (cut or rest[0][0][0] != now[0][0]):
+                yield solve([np.concatenate(x) for x in zip(*rest, [c[:cut] for c in now], strict=True)])
+                rest = []
+            elif cut:
+                yield solve([c[:cut] for c in now])
+            rest.append([c[cut:] for c in now])
+        if rest:
+            yield solve([np.concatenate(x) for x in zip(*rest, strict=True)])
+
+    units = _units(d.select("id", "root", "n", "fp", "more", F.explode("shards").alias("shard")), stars)
+    dealt = units.repartition("unit").sortWithinPartitions("unit", "id").select("unit", "side", "id", "root", "n", "fp", "more")
+    return mapped(dealt, batches, "id long, to long").distinct()
 
 
 def alike_sets(distinct: DataFrame, rows: DataFrame, file: str, place: str) -> DataFrame:
-    """id, root: linked sets of the distinct shingle sets (id, first, n, fp, bands).
-
-    Each set is first compared with the first one of its shard, which links dense groups without pairing them; where a
-    shard still holds several linked sets, its trees find all pairs across them, so that no candidate is left out."""
-    d = distinct.filter("n > 0").select(F.struct("id", "n", "fp").alias("own"), F.explode("bands").alias("shard"))
-    least = d.groupBy("shard").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
-    d = written(d.join(least, "shard"), "shards")
-    sets = written(shingle_sets(d.select("own.id").distinct(), distinct, rows, file, place), "sets")
-    tried = written(d.filter("own.id != least.id").filter(_near("own", "least")).select(F.col("least.id").alias("id"), F.col("own.id").alias("to")).distinct(), "pairs")
-    stars = linked_sets(verified(tried, sets))
-    roots = written(stars.unionByName(stars.select(F.col("root").alias("fp"), "root")).distinct().withColumnRenamed("fp", "id"), "roots")
-    d = d.select("shard", "own.*").join(roots, "id", "left").select("shard", "id", "n", "fp", F.coalesce("root", "id").alias("root"))
-    mixed = d.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shard")
-    more = written(across(written(d.join(mixed, "shard"), "mixed"), sets), "links")
-    if more.isEmpty():
-        return roots
-    joined = linked_sets(more).select(F.col("fp").alias("root"), F.col("root").alias("last"))
-    inner = roots.join(joined, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
-    return inner.unionByName(joined.select(F.col("root").alias("id"), F.col("last").alias("root"))).distinct()
+    """id, root: for the linked ones of the distinct shingle sets (id, first, n, fp, more, shards) the least of their
+    links.
+
+    In a few tables the root of each shard's tree is searched for first, which links dense groups without pairing them.
+    Then the trees of all tables find all pairs of sets that are not linked yet, so that no candidate is left out."""
+
+    def decided(found: DataFrame, rule: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        pairs = written(found, "pairs")
+        ids = pairs.select("id").unionByName(pairs.select(F.col("to").alias("id"))).distinct()
+        return rule(pairs, written(shingle_sets(ids, distinct, rows, file, place), "sets"))
+
+    d = distinct.filter(F.col("n") >= LEAST).select("id", F.col("id").alias("root"), "n", "fp", "more", "shards")
+    stars = linked_sets(decided(near_pairs(d.withColumn("shards", F.slice("shards", 1, STARS)), stars=True), verified))
+    stars = written(stars.select(F.col("fp").alias("id"), "root"), "stars")
+    d = d.drop("root").join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    links = decided(near_pairs(d), verified_groups).unionByName(stars.select("id", F.col("root").alias("to")))
+    return linked_sets(links).select(F.col("fp").alias("id"), "root")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -275,7 +378,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs, file, place)
     sketched = written(sketches(rows, file, place), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place"))
-    distinct = written(sketched.groupBy("id").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")]), "distinct")
+    distinct = written(sketched.groupBy("id").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "more", "shards")]), "distinct")
     roots = written(alike_sets(distinct, rows, file, place), "roots")
     kept = distinct.select("id", "first").join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.file").alias(file), F.col("first.place").alias(place)), "kept")

@@ -157,3 +157,45 @@ def test_candidates_reach_nearly_all_alike_pairs():
         found += bool((keys[0] == keys[1]).any()) and near.bit_count() <= N.RADIUS
         total += 1
     assert found >= 0.998 * total
+
+
+def test_shards_are_of_fingerprint_bits():
+    """Whether two sets share a shard is decided by their fingerprints alone, the first word of which the trees hold."""
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 2**64, n, np.uint64)) for n in (1, 4, 5, 30, 600, 1300)]
+    words = N.fingerprints(sets)
+    assert [int(w) for w in words.view("<i8")[:, 0]] == [N.fingerprint(x) for x in sets]
+    assert int(words[3, 0]) == sum(1 << p for p in range(64) if sum(int(h) >> p & 1 for h in sets[3]) > 15)
+    keys = N.band_keys(sets)
+    for t, places in enumerate(N.TABLES.tolist()):
+        for i, w in enumerate(words.tolist()):
+            assert keys[i, t] == t * 2**N.BITS + sum((w[p // 64] >> p % 64 & 1) << k for k, p in enumerate(places))
+
+
+def test_candidates_equal_brute_force():
+    """The trees find all near pairs of a unit that are of different roots, sides and like sizes."""
+    rng = np.random.default_rng(9)
+    m = 300
+    base = rng.integers(0, 2**63, 20)
+    flips = lambda: np.array([sum(1 << int(p) for p in rng.choice(63, rng.integers(0, 14), replace=False)) for _ in range(m)], np.int64)
+    which = rng.integers(0, 20, m)
+    fp, more = base[which] ^ flips(), base[which] ^ flips()
+    unit = np.sort(rng.integers(0, 6, m))
+    side = np.where(unit == 2, rng.integers(1, 3, m), 0)
+    ids, root, n = rng.permutation(m), rng.integers(0, 9, m), rng.integers(80, 120, m)
+    near = lambda i, j: unit[i] == unit[j] and root[i] != root[j] and (side[i] != side[j] or not side[i]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and int(fp[i] ^ fp[j]).bit_count() <= N.RADIUS and int(fp[i] ^ fp[j]).bit_count() + int(more[i] ^ more[j]).bit_count() <= N.RADIUS_2
+    first = {int(np.flatnonzero(unit == u)[0]) for u in set(unit.tolist())}
+    for stars in (False, True):
+        got = N.candidates(unit, side, ids, root, n, fp, more, stars)
+        want = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in range(m) for i in range(j) if near(i, j) and (not stars or i in first)}
+        assert len(want) > 5 and set(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+def test_alike_pairs_of_many_and_few():
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(24), 20)), np.uint64) for _ in range(30)]
+    i, j = np.triu_indices(30, 1)
+    want = [5 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 4 * len(set(sets[a].tolist()) | set(sets[b].tolist())) for a, b in zip(i, j, strict=True)]
+    assert 0 < sum(want) < len(want)
+    assert N.alike_pairs(sets, i, j).tolist() == want
+    assert N.alike_pairs(sets, i[:9], j[:9]).tolist() == want[:9]
