@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bktree import pairs_within
+from .bktree import components, pairs_within
 from .common import fresh, mapped, numbered, text_or_empty, written
 from .simhash import _LOWER, SEED, linked_sets
 
@@ -31,8 +31,8 @@ WORDS, BITS, DEALS = 8, 13, 2
 RADIUS, RADIUS_2 = 22, 40
 #: Tables whose shards are first searched from their trees' roots only.
 STARS = 8
-#: Weight of a part: of shards, where a set counts as SET, and of sets that are compared with each other, where one
-#: counts as its members and 500; sets that are compared with one set in a task, and columns of a matrix of sets.
+#: Weight of a part: of shards, where a set counts as SET, and of groups whose sets are compared, where one counts as
+#: its members and 500; sets that are compared with one set in a task, and columns of a matrix of sets.
 PART, SET, TOGETHER, COLUMNS = 1_000_000, 100, 500, 4096
 #: Words whose hash a worker remembers, and the longest one.
 REMEMBER, LONG = 1_000_000, 64
@@ -213,50 +213,49 @@ def alike_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndar
     return both * (few + many) >= (n[i] + n[j]) * few
 
 
-def verified_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """As `verified`, for pairs of which many may be among the same sets: those with the same least neighbour are sent to
-    a task together, each once, and are cut into parts of weight PART, of which every two with pairs meet."""
+def whole_units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches that are sorted by their first column, as tables that cut none of its values in two."""
+    rest: list[pa.RecordBatch] = []  # of the last unit, which may go on
+    for b in it:
+        if not b.num_rows:
+            continue
+        units = b.column(0).to_numpy()
+        cut = int(np.searchsorted(units, units[-1]))
+        if rest and (cut or rest[0].column(0)[0].as_py() != units[0]):
+            yield pa.Table.from_batches([*rest, b.slice(0, cut)])
+            rest = []
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        rest.append(b.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def verified_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, to: links that hold together what is alike within each group (shard) of the sets (shard, id, root, n, fp,
+    more). A group's sets are sent to a task, each once, where trees find the candidates and the sets decide, exactly;
+    no pair leaves the task, each set is linked to the first that it hangs together with. Groups of over PART are cut."""
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, members, ends = None, [], [], []
-
-        def solve() -> pa.RecordBatch:
-            order = np.argsort(np.array(names, np.int64))
-            own = np.array(names, np.int64)[order]
-            met = np.concatenate(ends, axis=1)
-            ok = alike_pairs([members[k] for k in order], np.searchsorted(own, met[0]), np.searchsorted(own, met[1]))
-            for column in (names, members, ends):
-                column.clear()
-            return pa.RecordBatch.from_arrays([pa.array(e[ok]) for e in met], names=["id", "to"])
-
-        for b in it:
-            units = b.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(units)) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(units)], strict=True):
-                if start == end:
-                    continue
-                if units[start] != now and ends:
-                    yield solve()
-                now = units[start]
-                part = b.slice(start, end - start)
-                sets = part.column(2).null_count  # they come first
-                names += part.column(1)[:sets].to_pylist()
-                members += [np.frombuffer(raw.as_buffer(), "<u8").copy() for raw in part.column(3)[:sets]]
-                if sets < part.num_rows:
-                    ends.append(np.stack([part.column(c)[sets:].to_numpy() for c in (1, 2)]))
-        if ends:
-            yield solve()
-
-    both = pairs.unionByName(pairs.select(F.col("to").alias("id"), F.col("id").alias("to")))
-    least = both.groupBy("id").agg(F.least("id", F.min("to")).alias("group"))
-    weighed = least.join(sets.select("id", (F.length("members") / 8 + 500).alias("weight")), "id")
-    parts = weighed.groupBy("group").agg(F.ceil(F.sum("weight") / PART).alias("parts"))
-    part = written(weighed.join(parts, "group").select("id", F.xxhash64("group", F.pmod(F.xxhash64("id"), "parts")).alias("part")), "parts")
-    own, other = part.withColumnRenamed("part", "a"), part.select(F.col("id").alias("to"), F.col("part").alias("b"))
-    met = written(pairs.join(own, "id").join(other, "to").select(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "id", "to"), "met")
-    sent = met.select("unit", F.explode(F.array("id", "to")).alias("id")).distinct().join(sets, "id").select("unit", "id", F.lit(None).cast("long").alias("to"), "members")
-    dealt = sent.unionByName(met.withColumn("members", F.lit(None).cast("binary"))).repartition("unit").sortWithinPartitions("unit", F.asc_nulls_first("to"))
-    return mapped(dealt, compare, "id long, to long")
+        for t in whole_units(it):
+            *columns, members = t.columns
+            unit, side, ids, root, n, fp, more = (c.to_numpy() for c in columns)
+            sets = [np.frombuffer(raw.as_buffer(), "<u8") for raw in members]
+            met = np.concatenate([np.empty((2, 0), np.int64), *map(np.stack, _near(unit, side, root, n, fp, more, False))], axis=1)
+            met = met[:, np.argsort(met[0], kind="stable")]  # by units
+            ok = np.zeros(met.shape[1], bool)
+            cuts = np.flatnonzero(np.diff(unit[met[0]])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(ok)], strict=True):
+                own, ends = np.unique(met[:, a:b], return_inverse=True)
+                if a < b:
+                    ok[a:b] = alike_pairs([sets[k] for k in own], *ends.reshape(2, -1))
+            to = components(len(ids), [tuple(met[:, ok])])
+            linked = to != np.arange(len(ids))
+            found = ids[linked], ids[to[linked]]
+            yield pa.RecordBatch.from_arrays([pa.array(e) for e in found], names=["id", "to"])
+
+    dealt = _units(groups, F.col("n") + 500).join(sets, "id").repartition("unit").sortWithinPartitions("unit", "id")
+    return mapped(dealt.select("unit", "side", "id", "root", "n", "fp", "more", "members"), compare, "id long, to long")
 
 
 def _not_of_the_largest(tree: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -270,10 +269,10 @@ def _not_of_the_largest(tree: np.ndarray, root: np.ndarray) -> np.ndarray:
     return ~largest[which]
 
 
-def candidates(unit: np.ndarray, side: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, more: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs, lesser one first, that BK-trees over the fingerprints `fp` find, a tree a unit: of different
-    roots and, where there are two sides, of different sides, of sizes that can be alike and near by `more` as well.
-    With `stars` only pairs with a tree's root."""
+def _near(unit: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, more: np.ndarray, stars: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that BK-trees over the fingerprints `fp` find, a tree a unit: of different roots and, where
+    there are two sides, of different sides, of sizes that can be alike and near by `more` as well. With `stars` only
+    pairs with a tree's root."""
     few, many = ALIKE
     _, first, tree = np.unique(unit, return_index=True, return_inverse=True)
     if stars:
@@ -283,26 +282,41 @@ def candidates(unit: np.ndarray, side: np.ndarray, ids: np.ndarray, root: np.nda
         ask = np.where(side == 0, _not_of_the_largest(tree, root), side == 1)
     sizes = np.bincount(tree)
     live = (np.bincount(tree, ask) > 0) & (sizes > 1)
-    keep = live[tree]
-    side, ids, root, n, fp, more, tree, ask = (x[keep] for x in (side, ids, root, n, fp.view(np.uint64), more.view(np.uint64), tree, ask))
-    out = []
+    place = np.flatnonzero(live[tree])
+    side, root, n, fp, more, tree, ask = (x[place] for x in (side, root, n, fp.view(np.uint64), more.view(np.uint64), tree, ask))
     for i, j in pairs_within(fp, tree, RADIUS, block=max(64, min(2048, (1 << 18) // int(sizes.max(initial=1)))), ask=ask):
         ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (n[i] * many >= n[j] * few) & (n[j] * many >= n[i] * few)
         i, j = i[ok], j[ok]
         ok = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]) <= RADIUS_2
-        i, j = ids[i[ok]], ids[j[ok]]
+        yield place[i[ok]], place[j[ok]]
+
+
+def candidates(unit: np.ndarray, side: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, more: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs that are near, lesser one first."""
+    out = []
+    for i, j in _near(unit, side, root, n, fp, more, stars):
+        i, j = ids[i], ids[j]
         out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
     found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
     return found[0], found[1]
 
 
-def _units(d: DataFrame, stars: bool) -> DataFrame:
+def root_links(unit: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the roots that near pairs hold together, each but the least and the least: fewer links than roots, however
+    many pairs there are."""
+    names, label = np.unique(root, return_inverse=True)
+    least = components(len(names), ((label[i], label[j]) for i, j in _near(unit, side, root, n, fp, more, False)))
+    linked = least != np.arange(len(names))
+    return names[linked], names[least[linked]]
+
+
+def _units(d: DataFrame, weight: Column, stars: bool = False) -> DataFrame:
     """Rows (shard, id, root, n, fp, more) with the unit whose tree they enter and their side there.
 
     A unit is a shard. A shard of over PART is cut into parts, and every two parts meet in a unit of their own; a root
     with so many sets has parts for itself, which do not meet each other, so that a large group of copies is never
     paired with itself. For `stars` each part is a unit."""
-    sizes = written(d.groupBy("shard").agg((F.count(F.lit(1)) * SET).alias("all")).filter(F.col("all") > PART), "sizes")
+    sizes = written(d.groupBy("shard").agg(F.sum(weight).alias("all")).filter(F.col("all") > PART), "sizes")
     columns = ["id", "root", "n", "fp", "more"]
     whole = d.join(sizes, "shard", "left_anti").select(F.col("shard").cast("long").alias("unit"), F.lit(0).alias("side"), *columns)
     if sizes.isEmpty():
@@ -310,7 +324,7 @@ def _units(d: DataFrame, stars: bool) -> DataFrame:
     d = d.join(sizes, "shard")
     if stars:
         return whole.unionByName(d.select(F.xxhash64("shard", F.pmod(F.xxhash64("id"), F.ceil(F.col("all") / PART))).alias("unit"), F.lit(0).alias("side"), *columns))
-    own = d.groupBy("shard", "root").agg((F.count(F.lit(1)) * SET).alias("own")).filter(F.col("own") > PART)
+    own = d.groupBy("shard", "root").agg(F.sum(weight).alias("own")).filter(F.col("own") > PART)
     d = d.join(own, ["shard", "root"], "left").withColumn("pure", F.when(F.col("own").isNotNull(), F.col("root")))
     part = F.when(F.col("own").isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / PART)))).otherwise(F.xxhash64(F.pmod(F.xxhash64("root"), F.ceil(F.col("all") / PART)), F.lit("mixed")))
     d = written(d.select("shard", part.alias("part"), "pure", *columns), "parts")
@@ -322,31 +336,33 @@ def _units(d: DataFrame, stars: bool) -> DataFrame:
     return whole.unionByName(d.join(dealt, ["shard", "part"]).select("unit", "side", *columns))
 
 
-def near_pairs(d: DataFrame, stars: bool = False) -> DataFrame:
-    """id, to: the distinct candidates of all shards of the sets (id, root, n, fp, more, shards)."""
+def _searched(d: DataFrame, find: Callable[..., tuple[np.ndarray, np.ndarray]], stars: bool) -> DataFrame:
+    """id, to: what `find` makes of the shards (unit, side, id, root, n, fp, more) of the sets (id, root, n, fp, more,
+    shards)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in candidates(*columns, stars)], names=["id", "to"])
+        for t in whole_units(it):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in find(*(c.to_numpy() for c in t.columns))], names=["id", "to"])
 
-        rest: list[list[np.ndarray]] = []  # of the last unit, which may go on
-        for b in it:
-            now = [c.to_numpy() for c in b.columns]
-            if not b.num_rows:
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if rest and (cut or rest[0][0][0] != now[0][0]):
-                yield solve([np.concatenate(x) for x in zip(*rest, [c[:cut] for c in now], strict=True)])
-                rest = []
-            elif cut:
-                yield solve([c[:cut] for c in now])
-            rest.append([c[cut:] for c in now])
-        if rest:
-            yield solve([np.concatenate(x) for x in zip(*rest, strict=True)])
-
-    units = _units(d.select("id", "root", "n", "fp", "more", F.explode("shards").alias("shard")), stars)
+    units = _units(d.select("id", "root", "n", "fp", "more", F.explode("shards").alias("shard")), F.lit(SET), stars)
     dealt = units.repartition("unit").sortWithinPartitions("unit", "id").select("unit", "side", "id", "root", "n", "fp", "more")
-    return mapped(dealt, batches, "id long, to long").distinct()
+    return mapped(dealt, batches, "id long, to long")
+
+
+def star_pairs(d: DataFrame) -> DataFrame:
+    """id, to: the distinct candidates of which one is the root of a shard's tree."""
+    return _searched(d, lambda *columns: candidates(*columns, True), stars=True).distinct()
+
+
+def near_links(d: DataFrame) -> DataFrame:
+    """id, to: links of roots that hold together all candidates of different roots, whether they are alike or not."""
+    return _searched(d, lambda unit, side, ids, *rest: root_links(unit, side, *rest), stars=False)
+
+
+def _relabelled(d: DataFrame, sets: DataFrame) -> DataFrame:
+    """`d` with the root of its root in the linked sets (fp, root)."""
+    least = sets.select(F.col("fp").alias("root"), F.col("root").alias("least"))
+    return d.join(least, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
 
 
 def alike_sets(distinct: DataFrame, rows: DataFrame, file: str, place: str) -> DataFrame:
@@ -354,19 +370,21 @@ def alike_sets(distinct: DataFrame, rows: DataFrame, file: str, place: str) -> D
     links.
 
     In a few tables the root of each shard's tree is searched for first, which links dense groups without pairing them.
-    Then the trees of all tables find all pairs of sets that are not linked yet, so that no candidate is left out."""
-
-    def decided(found: DataFrame, rule: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-        pairs = written(found, "pairs")
-        ids = pairs.select("id").unionByName(pairs.select(F.col("to").alias("id"))).distinct()
-        return rule(pairs, written(shingle_sets(ids, distinct, rows, file, place), "sets"))
-
+    Then the trees of all tables find which sets are near others that they are not linked to yet. Pairs stay in their
+    tasks: what leaves them are links that hold the near sets together in groups, a few tables' first, so that the
+    others' only join groups. Every candidate lies within a group, and there the whole sets decide."""
     d = distinct.filter(F.col("n") >= LEAST).select("id", F.col("id").alias("root"), "n", "fp", "more", "shards")
-    stars = linked_sets(decided(near_pairs(d.withColumn("shards", F.slice("shards", 1, STARS)), stars=True), verified))
-    stars = written(stars.select(F.col("fp").alias("id"), "root"), "stars")
-    d = d.drop("root").join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    links = decided(near_pairs(d), verified_groups).unionByName(stars.select("id", F.col("root").alias("to")))
-    return linked_sets(links).select(F.col("fp").alias("id"), "root")
+    found = written(star_pairs(d.withColumn("shards", F.slice("shards", 1, STARS))), "pairs")
+    ids = found.select("id").unionByName(found.select(F.col("to").alias("id"))).distinct()
+    stars = linked_sets(verified(found, written(shingle_sets(ids, distinct, rows, file, place), "sets")))
+    d = _relabelled(d, stars).withColumn("star", F.col("root"))
+    for first, many in ((1, STARS), (STARS + 1, len(TABLES) - STARS)):
+        d = _relabelled(d, linked_sets(near_links(d.withColumn("shards", F.slice("shards", first, many)))))
+    d = d.select(F.col("root").alias("shard"), "id", F.col("star").alias("root"), "n", "fp", "more")
+    several = d.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
+    groups = written(d.join(several, "shard", "left_semi"), "groups")
+    links = verified_groups(groups, written(shingle_sets(groups.select("id"), distinct, rows, file, place), "sets"))
+    return linked_sets(links.unionByName(stars.select(F.col("fp").alias("id"), F.col("root").alias("to")))).select(F.col("fp").alias("id"), "root")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -199,3 +200,67 @@ def test_alike_pairs_of_many_and_few():
     assert 0 < sum(want) < len(want)
     assert N.alike_pairs(sets, i, j).tolist() == want
     assert N.alike_pairs(sets, i[:9], j[:9]).tolist() == want[:9]
+
+
+def crowd(rng: random.Random, n: int) -> list[str]:
+    """Copies of one text with four edits each: nearly all pairs are candidates (about 0.7), few are alike."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    copies = [list(base) for _ in range(n)]
+    for copy in copies:
+        for at in rng.sample(range(200), 4):
+            copy[at] = f"w{rng.randrange(5000)}"
+    return [" ".join(c) for c in copies]
+
+
+def test_rows_made_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Whatever the stage writes or gets from Python, for three times the members of a group of near sets: by far not
+    nine times the rows; and the documents kept are those of brute force."""
+    made: list[dict[str, int]] = []
+
+    def counted(make, name):
+        def counting(df, *args):
+            out = make(df, *args)
+            made[-1][name(args)] = max(made[-1].get(name(args), 0), out.count())
+            return out
+
+        return counting
+
+    monkeypatch.setattr(N, "mapped", counted(N.mapped, lambda args: args[1]))
+    monkeypatch.setattr(N, "written", counted(N.written, lambda args: args[0]))
+    sizes = (100, 300)
+    for n in sizes:
+        texts = crowd(random.Random(7), n)
+        group = brute_groups(texts)
+        assert len(set(group)) > n / 3
+        made.append({})
+        assert [k for k, _ in sorted(kept(spark, list(enumerate(texts))))] == [i for i in range(n) if group[i] == i]
+    assert all(many <= 5 * max(made[0].get(name, 0), sizes[0]) for name, many in made[1].items()), made
+
+
+def test_root_links_hold_all_candidates_together():
+    """As many sets of roots as the candidates of all trees make, in fewer links than there are roots."""
+    rng = np.random.default_rng(10)
+    m = 400
+    base = rng.integers(0, 2**63, 12)
+    which = rng.integers(0, 12, m)
+    fp, more = (base[which] ^ np.array([sum(1 << int(p) for p in rng.choice(63, rng.integers(0, 16), replace=False)) for _ in range(m)], np.int64) for _ in range(2))
+    unit, n, side = np.sort(rng.integers(0, 9, m)), rng.integers(80, 120, m), np.zeros(m, np.int64)
+    root = rng.integers(0, 150, m) * 7
+    i, j = N.candidates(unit, side, np.arange(m), root, n, fp, more, False)
+    a, b = N.root_links(unit, side, root, n, fp, more)
+    assert 0 < len(a) < len(set(root.tolist())) < len(i) and (b < a).all()
+    names, label = np.unique(root, return_inverse=True)
+    want = N.components(len(names), [(label[i], label[j])])
+    got = N.components(len(names), [(np.searchsorted(names, a), np.searchsorted(names, b))])
+    assert got.tolist() == want.tolist()
+
+
+def test_whole_units_are_not_cut():
+    units = np.repeat([3, 4, 9, 11, 12], [5, 1, 14, 0, 3])
+    table = pa.table({"unit": units, "at": np.arange(len(units))})
+    for size in (1, 2, 3, 7, 30):
+        got = list(N.whole_units(iter([*table.to_batches(size), table.to_batches()[0].slice(0, 0)])))
+        assert pa.concat_tables(got).equals(table)
+        seen = [u for t in got for u in set(t["unit"].to_pylist())]
+        assert len(seen) == len(set(seen)) == 4
+    assert list(N.whole_units(iter([]))) == []
